@@ -9,6 +9,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sst import read_token_shards, write_token_shards
+
+    manifest = write_token_shards(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
+    return read_token_shards(spark, manifest)
+
+
+def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), length=1024, end_id=0, with_ids=False).drop("ids")
+
+
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_warc, write_warc
+
+    records = read_warc(spark, write_warc(_table(spark, sf_dir, "pages")), with_data=False)
+    return records.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
@@ -21,9 +47,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op6_hilbert_packing, op8_warc_archives, op9_simhash_near_dedup, op10_exact_dedup)}
 
 ORACLE = {
+    "op8_warc_archives": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, upper(sha1(html)) AS h,
+                          max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+        FROM d
+    """,
     "op10_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm
