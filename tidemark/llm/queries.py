@@ -31,6 +31,18 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(write_conversations(rows, _tokenizer("byte_bpe_50k.json"))).drop("loss_tokens", "n_tokens")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
@@ -62,7 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_chat_formatting, op4_suffix_decontamination, op6_hilbert_packing, op8_warc_archives, op9_simhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_chat_formatting, op3_quality_classifier, op4_suffix_decontamination, op5_toxicity, op6_hilbert_packing, op8_warc_archives, op9_simhash_near_dedup, op10_exact_dedup)}
 
 ORACLE = {
     "op2_chat_formatting": r"""
