@@ -1,11 +1,12 @@
 """Toxicity classifier: gradient-boosted trees on dense features, with isotonic calibration.
 
 1. A bounded sample of labelled rows (``fit_rows``) is halved by identifier.
-2. One half yields the lexicon: words and word beginnings that are much more frequent in toxic texts, counted by Spark
-   over distinct texts; at most ``lexicon_size`` entries are kept.
+2. Each half yields a lexicon, and both together the final one: words and word beginnings that are much more frequent
+   in toxic texts, counted by Spark over distinct texts; at most ``lexicon_size`` entries are kept.
 3. Dense features of a text: densities of lexicon entries, their strength, their nearness to words of the second
    person, capitals, punctuation, obfuscated spellings and entries that only show once a spelling is undone.
-4. The other half fits the trees; scores from trees that have not seen a row's fold calibrate the isotonic map.
+4. Trees are fitted on features that saw each half through the other half's lexicon; scores from trees that have not
+   seen a row's fold calibrate the isotonic map.
 5. Every whole text is scored in one pass.
 """
 
@@ -93,29 +94,37 @@ class Features:
         ]
 
 
-def learn_lexicon(sample: DataFrame, size: int, least_texts: int = 4, least_odds: float = 3.0) -> dict[str, float]:
-    """Entries of distinct texts in ``sample (text, y)`` that speak for label 1, with their log odds."""
+def learn_lexicons(sample: DataFrame, size: int, least_texts: int = 4, least_odds: float = 3.0) -> list[dict[str, float]]:
+    """Entries that speak for label 1, with their log odds: from half 0, from half 1 and from all of ``sample``.
+
+    ``sample`` has ``text, y, half``; equal texts count once.  One counting pass serves all three lexicons, each of
+    which has at most ``size`` entries.
+    """
 
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
-            entries, ys = [], []
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            entries, kinds = [], []
+            for text, y, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = {e for w in {bare(x) for x in (text.as_py() or "").split()} for e in entries_of(w)}
                 entries += own
-                ys += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array(ys, pa.int32())], ["entry", "y"])
-
-    texts = sample.groupBy("text").agg(F.max("y").alias("y"))
-    totals = texts.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
-    odds = F.log((F.col("p") + 0.5) / (totals[0] + 1.0)) - F.log((F.col("n") + 0.5) / (totals[1] + 1.0))
-    found = (
-        texts.mapInArrow(work, "entry string, y int").groupBy("entry").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-        .where((F.col("p") >= least_texts) & (F.col("p") * 4 >= F.col("n"))).withColumn("odds", odds).where(F.col("odds") >= least_odds)
-        .orderBy((F.col("odds") * F.log1p("p")).desc(), "entry").limit(size).collect()
-    )
-    return {r.entry: float(r.odds) for r in found}
+                kinds += [2 * half + y] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array(kinds, pa.int32())], ["entry", "kind"])
+
+    texts = sample.groupBy("text").agg(F.max("y").alias("y"), F.min("half").alias("half"))
+    kinds = [F.count_if(2 * F.col("half") + F.col("y") == k) for k in range(4)]
+    totals = texts.agg(*kinds).first()
+    counted = texts.mapInArrow(work, "entry string, kind int").groupBy("entry").agg(*(F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(4)))
+    found = []
+    for halves in ((0,), (1,), (0, 1)):
+        p, n = (sum((F.col(f"k{2 * h + y}") for h in halves), F.lit(0)) for y in (1, 0))
+        tp, tn = (sum(totals[2 * h + y] or 0 for h in halves) for y in (1, 0))
+        odds = F.log((p + 0.5) / (tp + 1.0)) - F.log((n + 0.5) / (tn + 1.0))
+        found.append(F.when((p >= least_texts) & (p * 4 >= n) & (odds >= least_odds), odds))
+    scored = counted.select("entry", *(o.alias(f"o{k}") for k, o in enumerate(found)), (F.log1p(F.col("k1") + F.col("k3")) * found[2]).alias("rank"))
+    rows = scored.where("coalesce(o0, o1, o2) is not null").orderBy(F.col("rank").desc_nulls_last(), "entry").limit(size).collect()
+    return [{r.entry: float(r[f"o{k}"]) for r in rows if r[f"o{k}"] is not None} for k in range(3)]
 
 
 class Trees:
@@ -188,17 +197,18 @@ class ToxicityModel:
 def fit(sample: DataFrame, lexicon_size: int = 1000, folds: int = 4) -> ToxicityModel:
     """Fit on ``sample (doc_id, text, y)``, a bounded table; without rows the model answers 0.5."""
     ship(sample.sparkSession)
-    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
-    lexicon = learn_lexicon(sample.where(half == 0).select("text", "y"), lexicon_size)
+    halved = sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int"))
+    *apart, lexicon = learn_lexicons(halved.select("text", "y", "half"), lexicon_size)
 
     def work(batches):
         import pyarrow as pa
 
-        of = Features(lexicon).of
+        of = [Features(apart[1]).of, Features(apart[0]).of]  # each half is seen through the other's lexicon
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64())), batch.column(2)], ["doc_id", "x", "y"])
+            x = [of[h](t.as_py()) for t, h in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2)], ["doc_id", "x", "y"])
 
-    rows = sample.where(half == 1).select("doc_id", "text", F.col("y").cast("double")).mapInArrow(work, "doc_id long, x array<double>, y double").collect()
+    rows = halved.select("doc_id", "text", F.col("y").cast("double"), "half").mapInArrow(work, "doc_id long, x array<double>, y double").collect()
     if not rows:
         return ToxicityModel(lexicon, None, (np.array([0.0]), np.array([0.5])))
     rows.sort(key=lambda r: r.doc_id)
