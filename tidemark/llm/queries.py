@@ -55,6 +55,12 @@ def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), length=1024, end_id=0, with_ids=False).drop("ids")
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxent_lm import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_warc, write_warc
 
@@ -74,7 +80,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_chat_formatting, op3_quality_classifier, op4_suffix_decontamination, op5_toxicity, op6_hilbert_packing, op8_warc_archives, op9_simhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_chat_formatting, op3_quality_classifier, op4_suffix_decontamination, op5_toxicity, op6_hilbert_packing, op7_maxent_lm, op8_warc_archives, op9_simhash_near_dedup, op10_exact_dedup)}
 
 ORACLE = {
     "op2_chat_formatting": r"""
