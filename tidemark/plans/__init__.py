@@ -1 +1,6 @@
+"""Registered queries of the log-analytics operators, with SQL for the same results."""
 
+from . import event_queries
+
+QUERIES = {**event_queries.QUERIES}
+ORACLE = {**event_queries.ORACLE}
