@@ -84,7 +84,7 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """``page_id, sha1, size, refers_to`` of each row; refers_to is null for responses."""
     known = stage(pages.select("page_id", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size")), "digests")
     first = known.where(F.col("size") >= min_revisit_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("first"))
-    return known.join(first, ["sha1", "size"], "left").select("page_id", "sha1", "size", F.when(F.col("first") != F.coalesce("page_id", F.lit(None)), F.col("first")).alias("refers_to"))
+    return known.join(first, ["sha1", "size"], "left").select("page_id", "sha1", "size", F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 def chunk_rows(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
