@@ -11,7 +11,7 @@ ROWS_WARNING, ROWS_CRITICAL, DISK_SHARE = (1_000.0, 100.0), (100_000.0, 10_000.0
 
 def rows_examined_ratio(profile: DataFrame) -> DataFrame:
     """ST014: classes that examine many rows for each row they return or change."""
-    produced = F.when(F.col("kind").isin("UPDATE", "DELETE", "INSERT", "REPLACE"), F.col("rows_affected_sum")).otherwise(F.col("rows_sent_sum")) if "kind" in profile.columns else F.col("rows_sent_sum")
+    produced = F.when(F.col("kind") == "SELECT", F.col("rows_sent_sum")).otherwise(F.col("rows_affected_sum")) if "kind" in profile.columns else F.col("rows_sent_sum")
     per_call = produced.cast("double") / F.col("calls").cast("double")
     ratio = F.col("rows_examined_mean") / F.greatest(per_call, F.lit(1.0))
     level = F.when((F.col("rows_examined_mean") >= ROWS_CRITICAL[0]) & (ratio >= ROWS_CRITICAL[1]), "critical").otherwise("warning")
