@@ -1,6 +1,6 @@
 """Registered queries of the log-analytics operators, with SQL for the same results."""
 
-from . import event_queries
+from . import event_queries, text_queries
 
-QUERIES = {**event_queries.QUERIES}
-ORACLE = {**event_queries.ORACLE}
+QUERIES = {**event_queries.QUERIES, **text_queries.QUERIES}
+ORACLE = {**event_queries.ORACLE, **text_queries.ORACLE}
