@@ -46,6 +46,40 @@ def _pieces_of(config: dict):
     return None
 
 
+#: Letters and signs whose pre-tokens are plain to see: they are left as they are by normalisation to composed form.
+_L, _S = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(f" ?[{_L}0-9{_S}]+")
+_PLAIN_TEXT = re.compile(f"[{_L}0-9{_S} \t\n\r]+")
+_PRE_TOKENS = {
+    _BYTE_PIECES: re.compile(f" ?[{_L}]+| ?[0-9]+| ?[{_S}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"),
+    _WORD_PIECES: re.compile(f"[{_L}]+|[0-9]|[{_S}]+"),
+}
+
+
+def _byte_letters() -> str:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(rest)) for b in range(256))
+
+
+class _Known(dict):
+    """Ids of pieces; a piece that is not there is encoded.  Holds about as many pieces as were used last."""
+
+    def __init__(self, encode):
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(self) >= _CACHED_PIECES // 2:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Encodes texts to little-endian id bytes, 2 bytes an id if the vocabulary allows it, else 4."""
 
@@ -58,39 +92,44 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         with open(path, encoding="utf-8") as f:
-            self.pattern = _pieces_of(json.load(f)) if pieces else None
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            config = json.load(f)
+        self.pattern = _pieces_of(config) if pieces else None
+        self.known, self.model, self.letters = _Known(self._piece), self.tokenizer.model, _byte_letters()
+        self.lower = any(x.get("type") == "Lowercase" for x in (config.get("normalizer") or {}).get("normalizers", []))
+        self.pre_tokens = _PRE_TOKENS.get(self.pattern)
+        self.single = _Known(self._pre_token)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _pre_token(self, text: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+        return np.array(ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece: by the library's model alone where its pre-tokens are plain, else by the whole tokenizer."""
+        if not _PLAIN.fullmatch(piece):
+            return self._whole(piece)
+        parts = self.pre_tokens.findall(piece.lower() if self.lower else piece)
+        return self._pre_token(parts[0]) if len(parts) == 1 else b"".join([self.single[p] for p in parts])
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of the whole text; null is empty, lone surrogates become U+FFFD."""
+        """Ids of the whole text; null is empty."""
         if not text:
             return b""
         if self.pattern is None:
-            return self._ids([text])[0]
-        return self._join(self.pattern.findall(text)) if len(text) <= 1 << 23 else self._long(text)
-
-    def _long(self, text: str) -> bytes:
-        """As ``encode``, holding a bounded number of pieces at a time."""
-        parts, held = [], []
+            return self._whole(text)
+        if len(text) <= 1 << 23:
+            if _PLAIN_TEXT.fullmatch(text):
+                return b"".join(map(self.single.__getitem__, self.pre_tokens.findall(text.lower() if self.lower else text)))
+            return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
+        parts, held = [], []  # a bounded number of pieces at a time
         for match in self.pattern.finditer(text):
             held.append(match[0])
             if len(held) >= 1 << 18:
-                parts.append(self._join(held))
+                parts.append(b"".join(map(self.known.__getitem__, held)))
                 held = []
-        return b"".join([*parts, self._join(held)])
-
-    def _join(self, found: list[str]) -> bytes:
-        known = self.known
-        new = list({x for x in found if x not in known})
-        if new:
-            if len(known) + len(new) > _CACHED_PIECES and known:
-                own = dict(zip(new, self._ids(new), strict=True))
-                return b"".join([own[x] if x in own else known[x] for x in found])
-            known.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(known.__getitem__, found))
+        return b"".join([*parts, *map(self.known.__getitem__, held)])
 
 
 def encoder(path: str) -> PieceEncoder:
