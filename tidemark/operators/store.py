@@ -95,7 +95,8 @@ class ParquetHistory(_Reads):
         return system.exists(where)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}")
+        table = self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}")
+        return table.select(*(f.split()[0] for f in TABLES[name].split(", ")))
 
     def save(self, run: DataFrame, snapshots: DataFrame, findings: DataFrame) -> int:
         """Appends one run and returns its id; the row in ``runs`` is written last and makes the run visible."""
