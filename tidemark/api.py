@@ -8,7 +8,7 @@ from .advice.catalog import Catalog as SchemaCatalog
 from .advice.rules import RULES, Engine, Finding, advise
 from .operators.report import Options, Report, analyze
 from .sources.generate import write_log as generate_log
-from .sources.slowlog import log_counters, read_log_text, read_slow_log
+from .sources.slowlog import counters, read_log_text, resolved_events, scan_slow_log
 from .sql.fingerprint import Fingerprint, fingerprint
 from .sql.parser import ParseError, parse
 from .sql.tree import dump
@@ -22,9 +22,10 @@ def _catalog(schema: str | SchemaCatalog | None) -> SchemaCatalog | None:
 
 def analyze_file(spark: SparkSession, path: str, schema: str | SchemaCatalog | None = None, options: Options = Options(), split_bytes: int = 64 << 20) -> Report:
     """Analyse a log file, a folder or a pattern; ``schema`` is DDL text or a catalog."""
-    counters = log_counters(spark, path, split_bytes).first().asDict()
-    run = {"source": path, "skipped": counters["skipped"], "lines": counters["lines"], "splits": counters["splits"]}
-    return analyze(read_slow_log(spark, path, split_bytes), _catalog(schema), options, run)
+    raw = scan_slow_log(spark, path, split_bytes)
+    seen = counters(raw).first()
+    run = {"source": path, "skipped": seen.skipped, "lines": seen.lines, "splits": seen.splits}
+    return analyze(resolved_events(raw), _catalog(schema), options, run)
 
 
 def analyze_text(spark: SparkSession, text: str, schema: str | SchemaCatalog | None = None, options: Options = Options()) -> Report:

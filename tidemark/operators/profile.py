@@ -60,8 +60,12 @@ def merge_histograms(*parts: DataFrame) -> DataFrame:
 
 def latency_percentiles(events: DataFrame, quantiles: dict[str, float] | None = None, value: str = "query_time_us") -> DataFrame:
     """Nearest-rank percentiles of each class from its histogram: middle of the bucket, kept within min and max."""
+    return percentiles_of(events.groupBy("class_id", bucket_of(F.col(value)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most")), quantiles)
+
+
+def percentiles_of(fine: DataFrame, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """Percentiles from a histogram ``class_id, bucket, n`` with the extremes ``least, most`` of each bucket."""
     quantiles = quantiles or {"p50_us": 0.50, "p95_us": 0.95, "p99_us": 0.99}
-    fine = events.groupBy("class_id", bucket_of(F.col(value)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
     of_class, upto = Window.partitionBy("class_id"), Window.partitionBy("class_id").orderBy("bucket")
     ranked = fine.select("class_id", "bucket", "least", "most", F.sum("n").over(upto).alias("seen"), F.sum("n").over(of_class).alias("calls"))
     middle = lower_of(F.col("bucket")) + F.floor((width_of(F.col("bucket")) - 1) / 2).cast("long")
@@ -88,6 +92,11 @@ def worst_sample(events: DataFrame, *columns: str) -> DataFrame:
 def tally(events: DataFrame, column: str) -> DataFrame:
     """``class_id, name, n, place``: non-empty values of a column by count descending, then name."""
     counted = events.where((F.col(column).isNotNull()) & (F.col(column) != "")).groupBy("class_id", F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return placed(counted)
+
+
+def placed(counted: DataFrame) -> DataFrame:
+    """Counts of names within classes with their place."""
     return counted.withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy(F.col("n").desc(), "name")))
 
 

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from ..advice.catalog import Catalog
 from ..advice.rules import SEVERITIES, Engine
 from ..functions.formats import abbreviate
+from ..functions.histogram import DECADES, bucket_of, decade_of
 from ..functions.statements import with_fingerprints
+from ..sources.scratch import stage
 from . import profile as P
 from . import ranking as R
 from .advise import with_findings
 
 
+WORST = ("sql", "database", "user", "host", "query_time_us", "rows_sent", "rows_examined", "ts", "seq")
+
+
 @dataclass(frozen=True)
 class Options:
     top: int = 20
@@ -47,18 +52,49 @@ def label_of(kind: str, tables: list[str], fingerprint: str) -> str:
     return f"{kind} {', '.join(tables)}" if tables else abbreviate(fingerprint, 60)
 
 
-def class_table(events: DataFrame) -> DataFrame:
-    """One row per class with everything a report shows; ``events`` have fingerprints."""
-    first = events.groupBy("class_id").agg(F.min("fingerprint").alias("fingerprint"), F.min("kind").alias("kind"))
-    databases = P.tally(events, "database").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("place", "name", "n"))).alias("databases"))
-    users = P.tally(events, "user").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("place", "name", "n"))).alias("users"))
-    profile = P.class_profile(events).join(first, "class_id").join(P.latency_percentiles(events), "class_id").join(P.latency_decades(events), "class_id")
-    return profile.join(P.worst_sample(events), "class_id").join(databases, "class_id", "left").join(users, "class_id", "left")
-
-
-def ranked_classes(events: DataFrame, catalog: Catalog | None = None, options: Options = Options()) -> DataFrame:
-    """The report's classes as a DataFrame: share of the whole, rank, findings of the kept ones."""
-    kept = R.rank_classes(R.time_share(class_table(events)), options.sort, options.top)
+def cells(events: DataFrame) -> DataFrame:
+    """Everything a report needs, merged over (class, latency bucket, database, user) in one pass over the events.
+
+    The table is kept in the shared folder: it is as small as the number of such cells, and all further aggregates
+    merge its rows instead of reading the log again.
+    """
+    n = F.count(F.lit(1))
+    sums = [F.sum(m).alias(f"{m}_sum") for m in P.METRICS] + [F.min(m).alias(f"{m}_min") for m in P.METRICS] + [F.max(m).alias(f"{m}_max") for m in P.METRICS]
+    flags = [F.count_if(f).alias(f"{f}_count") for f in P.FLAGS]
+    seen = F.nullif("ts", F.lit(0))
+    worst = F.max_by(F.struct(*WORST), F.struct("query_time_us", -F.col("seq"))).alias("worst")
+    keys = ["class_id", bucket_of(F.col("query_time_us")).alias("bucket"), "database", "user"]
+    table = events.groupBy(*keys).agg(n.alias("calls"), *sums, *flags, F.sum("bytes_sent").alias("bytes_sent"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"), worst, F.min("fingerprint").alias("fingerprint"), F.min("kind").alias("kind"))
+    return stage(table, "cells")
+
+
+def _merged() -> list:
+    calls = F.sum("calls").cast("double")
+    out = [F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.sum("bytes_sent").alias("bytes_sent")]
+    for m in P.METRICS:
+        out += [F.sum(f"{m}_sum").alias(f"{m}_sum"), F.min(f"{m}_min").alias(f"{m}_min"), F.max(f"{m}_max").alias(f"{m}_max"), (F.sum(f"{m}_sum").cast("double") / calls).alias(f"{m}_mean")]
+    for f in P.FLAGS:
+        out += [F.sum(f"{f}_count").alias(f"{f}_count"), (F.sum(f"{f}_count").cast("double") / calls).alias(f"{f}_ratio")]
+    return [*out, F.coalesce(F.min("first_seen"), F.lit(0)).alias("first_seen"), F.coalesce(F.max("last_seen"), F.lit(0)).alias("last_seen")]
+
+
+def class_table(table: DataFrame) -> DataFrame:
+    """One row per class with everything a report shows, from ``cells``."""
+    worst = F.max_by("worst", F.struct("worst.query_time_us", -F.col("worst.seq"))).alias("worst")
+    decades = [F.coalesce(F.sum(F.when(decade_of(F.col("bucket")) == k, F.col("calls"))), F.lit(0)).alias(f"d{k}") for k in range(DECADES)]
+    summary = table.groupBy("class_id").agg(*_merged(), *decades, F.min("fingerprint").alias("fingerprint"), F.min("kind").alias("kind"), worst)
+    summary = summary.select("*", *(F.col(f"worst.{c}").alias(f"worst_{c}") for c in WORST)).drop("worst")
+    fine = table.groupBy("class_id", "bucket").agg(F.sum("calls").alias("n"), F.min("query_time_us_min").alias("least"), F.max("query_time_us_max").alias("most"))
+    out = summary.join(P.percentiles_of(fine), "class_id")
+    for column in ("database", "user"):
+        counted = P.placed(table.where(F.col(column) != "").groupBy("class_id", F.col(column).alias("name")).agg(F.sum("calls").alias("n")))
+        out = out.join(counted.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("place", "name", "n"))).alias(f"{column}s")), "class_id", "left")
+    return out
+
+
+def ranked_classes(table: DataFrame, catalog: Catalog | None = None, options: Options = Options()) -> DataFrame:
+    """The report's classes as a DataFrame, from ``cells``: share of the whole, rank, findings of the kept ones."""
+    kept = R.rank_classes(R.time_share(class_table(table)), options.sort, options.top)
     if options.advise:
         return with_findings(kept, catalog, Engine(options.disabled_rules), "worst_sql", options.min_severity)
     return kept.withColumn("findings", F.array().cast("array<struct<ordinal:int,rule_id:string,rule_name:string,severity:string,title:string,detail:string,suggestion:string>>"))
@@ -69,9 +105,9 @@ def analyze(events: DataFrame, catalog: Catalog | None = None, options: Options
     whole = events
     if options.database:
         events = P.filter_database(events, options.database)
-    events = with_fingerprints(events)
-    classes = ranked_classes(events, catalog, options).orderBy("rank").collect()
-    totals = P.totals(events).first().asDict()
+    table = cells(with_fingerprints(events))
+    classes = sorted(ranked_classes(table, catalog, options).collect(), key=lambda c: c["rank"])
+    totals = table.agg(*_merged()).first().asDict()
     facts = {"sort": options.sort, "class_count": classes[0].class_count if classes else 0, **(run or {})}
     if options.database:
         facts |= P.filtered_count(whole, options.database).first().asDict()

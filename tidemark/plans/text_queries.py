@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ..advice.catalog import Catalog
 from ..functions.statements import fnv1a_64, with_fingerprints
 from ..operators import advise as A
-from ..operators import profile as P
-from ..operators import ranking as R
+from ..operators.report import Options, cells, ranked_classes
 from ..sources.generate import generate_events, log_text, write_log
 from ..sources.scratch import scratch_folder
-from ..sources.slowlog import log_counters, read_slow_log, stream_slow_log
+from ..sources.slowlog import log_counters, read_slow_log, resolved_events, scan_slow_log, stream_slow_log
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -178,6 +177,6 @@ def analyze_log(spark, sf_dir):
     """From text to advice: a generated log, its costliest classes and their findings."""
     path = scratch_folder(spark, "generated")
     write_log(spark, path, 5_000, 42, files=4)
-    events = with_fingerprints(read_slow_log(spark, path, split_bytes=1 << 19))
-    profile = P.class_profile(events).join(P.worst_sample(events, "sql"), "class_id").join(events.groupBy("class_id").agg(F.min("kind").alias("kind")), "class_id")
-    return A.findings(R.rank_classes(R.time_share(profile), "time", 20), sql="worst_sql")
+    table = cells(with_fingerprints(resolved_events(scan_slow_log(spark, path, split_bytes=1 << 19))))
+    ranked = ranked_classes(table, options=Options(top=20))
+    return ranked.select("class_id", "rank", F.explode("findings").alias("f")).select("class_id", "rank", "f.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
@@ -15,3 +15,10 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="tidemark-scratch-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tidemark-log/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in a shared folder and return it read back: computed once, and its lineage is cut."""
+    path = scratch_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

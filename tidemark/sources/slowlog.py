@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from ..operators.profile import EVENT_COLUMNS
 from ..shipping import ship
 from .records import Boundaries, Parser
+from .scratch import stage
 
 RAW = f"kind string, split long, {EVENT_COLUMNS}, lines long, events long, skipped long, last_use string"
 SPLIT_BYTES = 64 << 20
@@ -227,12 +228,13 @@ def _raw(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
     return spark.read.format("slowlog").option("splitBytes", str(split_bytes)).load(path)
 
 
-def read_slow_log(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, database: str = "") -> DataFrame:
-    """Events of a log with the columns of ``EVENT_COLUMNS``; ``seq`` orders events as the files do.
+def scan_slow_log(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The source's rows, parsed once and kept in the shared folder, for ``resolved_events`` and ``counters``."""
+    return stage(_raw(spark, path, split_bytes), "scan")
 
-    ``database`` is the one in force before the first ``use``.  An empty log gives no events; a missing one raises.
-    """
-    raw = _raw(spark, path, split_bytes)
+
+def resolved_events(raw: DataFrame, database: str = "") -> DataFrame:
+    """Events with the database in force; ``database`` is the one before the first ``use``."""
     before = Window.partitionBy(F.shiftright("split", 32)).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     carried = raw.where("kind = 'end'").select("split", F.coalesce(F.last("last_use", ignorenulls=True).over(before), F.lit(database)).alias("carried"))
     events = raw.where("kind = 'event'").join(carried, "split", "left")
@@ -241,12 +243,26 @@ def read_slow_log(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     return events.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in names))
 
 
-def log_counters(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def counters(raw: DataFrame) -> DataFrame:
     """One row: ``lines, events, skipped, splits``."""
-    ends = _raw(spark, path, split_bytes).where("kind = 'end'")
+    ends = raw.where("kind = 'end'")
     return ends.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lines", "events", "skipped")), F.count(F.lit(1)).alias("splits"))
 
 
+def read_slow_log(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, database: str = "") -> DataFrame:
+    """Events of a log with the columns of ``EVENT_COLUMNS``; ``seq`` orders events as the files do.
+
+    An empty log gives no events; a missing one raises.  Each range is parsed twice, for its events and for the
+    database it hands on; ``scan_slow_log`` parses once where several results are wanted.
+    """
+    return resolved_events(_raw(spark, path, split_bytes), database)
+
+
+def log_counters(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """One row: ``lines, events, skipped, splits``."""
+    return counters(_raw(spark, path, split_bytes))
+
+
 def read_log_text(spark: SparkSession, text: str, database: str = "") -> DataFrame:
     """Events of a log that is already in memory."""
     from .records import parse_text
