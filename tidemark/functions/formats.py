@@ -46,3 +46,19 @@ def abbreviate(text: str, limit: int = 0) -> str:
     """On one line, and cut to ``limit`` characters with an ellipsis if that is not 0."""
     text = re.sub(r"[ \t\n\r\f\v]+", " ", text.strip(" \t\n\r\f\v"))
     return text if limit == 0 or len(text) <= limit else text[: limit - 1].rstrip(" ") + "…"
+
+
+#: Clauses that begin a line in laid-out SQL.
+_CLAUSES = r"(?i)\s+(?=(?:from|where|group by|having|order by|limit|union(?: all)?|(?:left |right |inner |cross )?join|set|values|on duplicate key)\b)"
+
+
+def pretty_sql(sql: str) -> str:
+    """One clause a line; texts in quotes are left alone."""
+    parts = re.split(r"('(?:[^'\\]|\\.|'')*'|`[^`]*`|\"(?:[^\"\\]|\\.)*\")", sql.strip())
+    return "".join(p if k % 2 else re.sub(_CLAUSES, "\n", p) for k, p in enumerate(parts))
+
+
+def fix_parts(suggestion: str) -> list[tuple[str, str]]:
+    """A suggestion's lines as ("sql" or "text", line)."""
+    starts = ("ALTER TABLE", "SELECT ", "NOT EXISTS", "... WHERE", "CREATE ")
+    return [("sql" if line.startswith(starts) else "text", line) for line in suggestion.split("\n") if line]

@@ -136,3 +136,18 @@ def explain_rows(plans: DataFrame, plan: str = "plan") -> DataFrame:
     compute.__annotations__ = {}
     rest = [c for c in plans.columns if c != plan]
     return plans.select(*rest, F.explode(compute(F.col(plan))).alias("p")).select(*rest, "p.*")
+
+
+def index_statements(found: DataFrame) -> DataFrame:
+    """``statement, first``: the distinct index statements that missing-index findings suggest, by first appearance.
+
+    ``found`` has ``rule_id, suggestion`` and an ``ordinal`` that orders it.
+    """
+    first = F.substring_index("suggestion", "\n", 1)
+    wanted = found.where((F.col("rule_id") == "ST001") & first.rlike(r"\AALTER TABLE .* ADD INDEX"))
+    return wanted.groupBy(first.alias("statement")).agg(F.min("ordinal").alias("first"))
+
+
+def explain_targets(ranked: DataFrame, most: int) -> DataFrame:
+    """The SELECT classes among the ``most`` costliest, whose plans are worth asking for."""
+    return ranked.where((F.col("rank") <= most) & (F.col("kind") == "SELECT"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..advice.catalog import Catalog
+from ..functions import columns as C
 from ..functions.statements import fnv1a_64, with_fingerprints
 from ..operators import advise as A
 from ..operators.report import Options, cells, ranked_classes
@@ -180,3 +181,35 @@ def analyze_log(spark, sf_dir):
     table = cells(with_fingerprints(resolved_events(scan_slow_log(spark, path, split_bytes=1 << 19))))
     ranked = ranked_classes(table, options=Options(top=20))
     return ranked.select("class_id", "rank", F.explode("findings").alias("f")).select("class_id", "rank", "f.*")
+
+
+@_query(r"""SELECT o_orderkey, lower(o_orderpriority) AS lowered, upper(o_orderpriority) AS raised, trim(' ' || o_orderstatus || chr(9), ' ' || chr(9)) AS trimmed,
+           CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS number, lpad(upper(to_hex(o_orderkey)), 16, '0') AS hexed, o_orderkey::VARCHAR AS unhexed,
+           strftime(to_timestamp(o_orderkey * 1000) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS at, format('{:,}', o_orderkey * 1000) AS counted
+           FROM orders""")
+def scalar_functions(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return _orders(spark, sf_dir).select(
+        "o_orderkey", C.ascii_lower(F.col("o_orderpriority")).alias("lowered"), C.ascii_upper(F.col("o_orderpriority")).alias("raised"), C.trim_blanks(F.concat(F.lit(" "), F.col("o_orderstatus"), F.lit("\t"))).alias("trimmed"),
+        C.parse_uint(F.concat(key.cast("string"), F.when(key % 3 == 0, "").otherwise("x"))).alias("number"), C.to_hex(key).alias("hexed"), C.from_hex(C.to_hex(key)).alias("unhexed"), C.format_timestamp(key * 1000).alias("at"), C.format_count(key * 1000).alias("counted"),
+    )
+
+
+@_query("""SELECT n AS id, 'user' || lpad(n::VARCHAR, 6, '0') || '@example.com' AS email, ['BR', 'PT', 'ES', 'MX'][n % 4 + 1] AS country, (n * 7919) % 1000 // 10 AS tier,
+           TIMESTAMP '2023-01-01' + (n % 365) * INTERVAL 1 DAY + (n % 1440) * INTERVAL 1 MINUTE AS created_at, sha256('s' || n::VARCHAR) AS token, repeat('ab', (n % 3 + 1)::INTEGER) AS pad,
+           CASE WHEN n % 5 = 0 THEN NULL ELSE round(n * 1.25, 1) END AS total FROM range(1, 2001) r(n)""")
+def lab_seed(spark, sf_dir):
+    """Rows of a seeded shop table: a sequence and the functions that its columns need."""
+    n = F.col("id")
+    return spark.range(1, 2001).select(
+        "id", F.concat(F.lit("user"), F.lpad(n.cast("string"), 6, "0"), F.lit("@example.com")).alias("email"), F.elt((n % 4 + 1).cast("int"), F.lit("BR"), F.lit("PT"), F.lit("ES"), F.lit("MX")).alias("country"), F.expr("(id * 7919) % 1000 div 10").alias("tier"),
+        F.expr("timestamp_ntz'2023-01-01' + make_dt_interval(cast(id % 365 as int), 0, cast(id % 1440 as int))").alias("created_at"), F.sha2(F.concat(F.lit("s"), n.cast("string")), 256).alias("token"), F.expr("repeat('ab', cast(id % 3 + 1 as int))").alias("pad"),
+        F.when(n % 5 == 0, F.lit(None)).otherwise(F.round(n.cast("decimal(10,0)") * F.lit("1.25").cast("decimal(3,2)"), 1)).cast("double").alias("total"),
+    )
+
+
+@_query("SELECT 'ALTER TABLE t' || (n_nationkey % 5) || ' ADD INDEX idx_t' || (n_nationkey % 5) || '_b (b);' AS statement, min(n_nationkey) AS first FROM nation GROUP BY n_nationkey % 5")
+def index_statements(spark, sf_dir):
+    sql = F.concat(F.lit("SELECT * FROM t"), (F.col("n_nationkey") % 5).cast("string"), F.lit(" WHERE b = 1"))
+    found = A.findings(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", sql.alias("sql")))
+    return A.index_statements(found.drop("ordinal").withColumnRenamed("n_nationkey", "ordinal"))
