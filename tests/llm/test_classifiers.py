@@ -80,3 +80,12 @@ def test_trees_learn_an_interaction():
 
 def test_disguises_are_undone():
     assert [undone(w) for w in ("1d10t", "st*pid", "c.l.o.w.n", "looooser", "$tup1d")] == ["idiot", "stpid", "clown", "loser", "stupid"]
+
+
+def test_sample_is_bounded_and_repeatable(spark, labelled):
+    from tidemark.llm.calibration import labelled_sample
+
+    docs, labels = labelled
+    everything = {tuple(r) for r in labelled_sample(docs, labels, "toxic", 10_000).collect()}
+    some = [{tuple(r) for r in labelled_sample(docs.repartition(n), labels, "toxic", 200).collect()} for n in (1, 5)]
+    assert some[0] == some[1] < everything and 100 < len(some[0]) <= 200

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stage
+
 
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model may learn from: CRC-32 of the identifier's text, modulo 4, is 2."""
@@ -13,13 +15,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, y``: the labels that may be learned from, at most ``rows`` of them, chosen by a hash of the identifier.
+    """``doc_id, y``: the labels that may be learned from, all of them or a sample of about ``rows`` and not more.
 
-    An identifier with several labels counts with the largest; null labels and identifiers are left out.
+    The sample keeps the identifiers whose hash lies below a threshold, which aims a little under ``rows`` so that
+    chance does not exceed it; no task sends candidates to the driver.  An identifier with several labels counts with
+    the largest; null labels and identifiers are left out.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     present = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    return known.where(~held_out(F.col("doc_id"))).join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    usable = stage(known.where(~held_out(F.col("doc_id"))).join(present, "doc_id", "left_semi"), "labelled")
+    count = usable.count()
+    if count <= rows:
+        return usable
+    share = max(0.0, rows - 4 * rows**0.5) / count
+    return usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
 def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
