@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.sql.fingerprint import fingerprint, fnv1a_64, statement_kind
+from tidemark.sql.fingerprint import fingerprint, fnv1a_64, skeleton, statement_kind
 from tidemark.sql.lexer import tokenize, unquote_name, unquote_string
 from tidemark.sql.parser import ParseError, parse, parse_expression, parse_script, try_parse
 from tidemark.sql.tree import dump
@@ -55,6 +55,12 @@ def test_any_text_lexes_parses_and_folds(sql):
     assert (tree is None) == bool(error)
 
 
+@given(st.lists(st.sampled_from(["select ", "in (", "'", "''", "'a'", "1", "23", " ", ",", ")", "x", "é", ".", "-", "0x1", "n'", "_u", "b'01'", "@", "1e5", "\n", "values", "insert into t ", "=", "#", '"', "--", "$"]), max_size=25).map("".join))
+@settings(max_examples=2500, deadline=None)
+def test_skeleton_keeps_the_fingerprint(sql):
+    assert fingerprint(skeleton(sql)) == fingerprint(sql)
+
+
 def test_unquoting():
     assert unquote_name("`a``b`") == "a`b" and unquote_name("x") == "x"
     assert unquote_string(r"'a''b\n\%\q'") == "a'b\n\\%q" and unquote_string("N'x'") == "x"

@@ -14,7 +14,7 @@ FINGERPRINT = "class_id string, fingerprint string, kind string"
 def with_fingerprints(events: DataFrame, column: str = "sql") -> DataFrame:
     """The frame with ``class_id, fingerprint, kind`` of a statement column.
 
-    One Arrow pass; statements are remembered within a task, since logs repeat themselves.
+    One Arrow pass; shapes of statements are remembered within a task, since logs repeat themselves.
     """
     ship(events.sparkSession)
     known: dict = {}
@@ -23,16 +23,17 @@ def with_fingerprints(events: DataFrame, column: str = "sql") -> DataFrame:
     def compute(texts):
         import pandas as pd
 
-        from tidemark.sql.fingerprint import fingerprint
+        from tidemark.sql.fingerprint import fingerprint, skeleton
 
         def of(text):
-            found = known.get(text)
+            key = skeleton(text or "")
+            found = known.get(key)
             if found is None:
-                fp = fingerprint(text or "")
+                fp = fingerprint(key)
                 found = (fp.class_id, fp.text.encode("utf-8", "replace").decode(), fp.kind)
                 if len(known) >= 100_000:
                     known.clear()
-                known[text] = found
+                known[key] = found
             return found
 
         return pd.DataFrame([of(t) for t in texts], columns=["class_id", "fingerprint", "kind"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from .lexer import CLOSE, COMMA, DOT, END, LITERALS, OP, OPEN, PARAM, QUOTED, SEMICOLON, VARIABLE, WORD, Token, lower, tokenize, unquote_name
@@ -121,3 +122,18 @@ def fingerprint(sql: str) -> Fingerprint:
             before, at = CLOSE, end + 1
     text = "".join(out)
     return Fingerprint(text, class_id(text), kind)
+
+
+_QUOTED_TEXT = re.compile(r"'(?:[^']|'')*+'")
+_WHOLE_NUMBER = re.compile(r"(?<![A-Za-z0-9_$.@\u0080-\U0010ffff])[0-9]+(?![A-Za-z0-9_$.\u0080-\U0010ffff])")
+_UNSURE = re.compile(r"[#\"`\\]|--|/\*|@'")
+
+
+def skeleton(sql: str) -> str:
+    """A text with the same fingerprint that statements of one shape share: texts emptied, whole numbers zeroed.
+
+    Where a quote may stand in a comment or in another kind of quotes, the statement itself is returned.
+    """
+    if _UNSURE.search(sql):
+        return sql
+    return _WHOLE_NUMBER.sub("0", _QUOTED_TEXT.sub("''", sql))
