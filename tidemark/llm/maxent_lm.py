@@ -10,7 +10,7 @@
 * P(class | history) is a softmax over hashed features: the previous word, the classes of the two previous words, and
   two skip features (the word before the previous one; the classes of the first and the third word back).
 * Training: the training documents are dealt over ``rounds`` slices.  In each round every partition starts from the
-  broadcast weights, takes adaptive gradient steps over its part of the slice in sparse batches, and returns its
+  broadcast weights, takes gradient steps over its part of the slice in sparse batches, and returns its
   change in blocks of rows; Spark averages the blocks, and the driver holds one set of weights.
 * Scoring: sparse numpy batches give log10 P(class | history); the words' own masses are added from the broadcast
   and from the join.
@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.histogram import bucket_of
 from ..shipping import ship
 from .shared import stage
 
@@ -33,6 +34,7 @@ END = b" "  # no word holds a blank
 ROWS, BLOCK = 1 << 14, 256
 PAIRS = 1 << 12
 STEP = 8192
+SHRINK = 8.0
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
@@ -67,6 +69,21 @@ def counts_of(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     return docs.mapInArrow(work, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequency_cut(counts: DataFrame, top: int) -> int:
+    """The lowest frequency bucket such that at most ``top`` words lie in it and above.
+
+    The histogram has a bounded number of buckets (exact below 64, 32 for each power of two beyond), so neither it nor
+    the words above the cut grow with the corpus, and no task sends candidates that the driver would discard.
+    """
+    kept, cut = 0, 1 << 40
+    for row in sorted(counts.groupBy(bucket_of(F.col("c")).alias("b")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.b):
+        kept += row.n
+        if kept > top:
+            break
+        cut = row.b
+    return cut
+
+
 def _pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Letter pairs of framed words, as hashed numbers, and where each word begins."""
     raw = np.frombuffer(b"".join(b"^" + w[:32] + b"$" for w in words), np.uint8).astype(np.int64)
@@ -164,18 +181,22 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def descend(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray, rate: float) -> None:
-    """One adaptive gradient step on a sparse batch, in place."""
+def descend(weights: np.ndarray, bias: np.ndarray, visits: np.ndarray, rows: np.ndarray, cls: np.ndarray, rate: float) -> None:
+    """One gradient step on a sparse batch, in place.
+
+    Each feature row moves by its mean residual, drawn toward zero for rows of few tokens (``SHRINK``) and less with
+    each visit, so neither a frequent nor a rare feature overshoots, however few batches a partition has.
+    """
     grad = np.exp(log_softmax(weights, bias, rows))
     grad[np.arange(len(cls)), cls] -= 1.0
     for j in range(rows.shape[1]):
         order = np.argsort(rows[:, j], kind="stable")
         own = rows[order, j]
         begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        step = np.add.reduceat(grad[order], begins)
-        at = own[begins]
-        squares[at] += (step**2).mean(axis=1)
-        weights[at] -= rate * step / np.sqrt(squares[at] + 1.0)[:, None]
+        at, n = own[begins], np.diff(np.r_[begins, len(own)])
+        scale = (rate / np.sqrt(1.0 + visits[at] / 4) / (n + SHRINK)).astype(np.float32)
+        weights[at] -= scale[:, None] * np.add.reduceat(grad[order], begins)
+        visits[at] += 1
 
 
 def _chunks(batches, column: int, limit: int = 1 << 21):
@@ -202,14 +223,14 @@ def train(docs: DataFrame, classes_sent, bias: np.ndarray, rounds: int, rate: fl
         def work(batches, sent=sent):
             import pyarrow as pa
 
-            own, squares = sent.value.copy(), np.zeros(ROWS, np.float32)
+            own, visits = sent.value.copy(), np.zeros(ROWS, np.float32)
             classes, b = classes_sent.value, bias.astype(np.float32)
             seen = np.zeros(ROWS, bool)
             for _, texts in _chunks(batches, 0):
                 batch = Batch(texts, classes)
                 for at in range(0, len(batch.cls), STEP):
                     rows = batch.rows[at : at + STEP]
-                    descend(own, b, squares, rows, batch.cls[at : at + STEP], rate)
+                    descend(own, b, visits, rows, batch.cls[at : at + STEP], rate)
                     seen[rows.reshape(-1)] = True
             change = (own - sent.value) * seen[:, None]
             blocks = [k for k in range(ROWS // BLOCK) if seen[k * BLOCK : (k + 1) * BLOCK].any()]
@@ -247,7 +268,7 @@ def train(docs: DataFrame, classes_sent, bias: np.ndarray, rounds: int, rate: fl
 SCORED = "rid long, doc_id long, n_tokens long, n_known long, own double, mass double, rare array<struct<word:binary,n:int>>"
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 1 << 18, rounds: int = 2, rate: float = 0.5) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 1 << 18, rounds: int = 2, rate: float = 3.0) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Rows whose CRC-32 of the identifier's text, modulo 7, is 2 are held out of counts and training (a row without an
@@ -262,12 +283,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     training = rows.where(~held)
     counts = stage(counts_of(training.select("text")), "counts")
     total, kinds = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    first = counts.orderBy(F.col("c").desc(), "word").limit(top).collect()
-    classes = Classes([bytes(r.word) for r in first], np.array([r.c for r in first], np.float64))
-    least = (first[-1].c, bytes(first[-1].word)) if len(first) == top else None
+    cut = frequency_cut(counts, top)
+    rows_ = counts.where(bucket_of(F.col("c")) >= cut).select("word", "c").toArrow().to_pydict()  # ``top`` rows at most
+    first = sorted(zip(rows_["c"], rows_["word"], strict=True), key=lambda r: (-r[0], r[1]))
+    classes = Classes([w for _, w in first], np.array([c for c, _ in first], np.float64))
     sent = spark.sparkContext.broadcast(classes)
-    if least is not None:
-        beyond = counts.where((F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("word") > F.lit(least[1]))))
+    if len(first) < kinds:
 
         def masses(batches):
             import pyarrow as pa
@@ -279,6 +300,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
             own = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(total[own])], ["cls", "mass"])
 
+        beyond = counts.where(bucket_of(F.col("c")) < cut).select("word", "c")
         for row in beyond.mapInArrow(masses, "cls long, mass double").groupBy("cls").agg(F.sum("mass").alias("mass")).collect():
             classes.mass[row.cls] += row.mass
     mass = np.maximum(classes.mass, 1e-9)
