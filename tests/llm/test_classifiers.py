@@ -5,7 +5,7 @@ import pytest
 
 from tidemark.llm.calibration import calibrated, isotonic
 from tidemark.llm.quality import drop_poor, quality_scores, statistics
-from tidemark.llm.toxicity import Trees, toxicity_scores, undone
+from tidemark.llm.toxicity import FEATURES, NEAR, Features, Trees, toxicity_scores, undone
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -82,6 +82,15 @@ def test_disguises_are_undone():
     assert [undone(w) for w in ("1d10t", "st*pid", "c.l.o.w.n", "looooser", "$tup1d")] == ["idiot", "stpid", "clown", "loser", "stupid"]
 
 
+@pytest.mark.parametrize(("hits", "spoken", "other"), [(3, 2, 30), (2100, 2000, 40_000), (6000, 500, 60_000), (50, 0, 500), (0, 50, 500)])
+def test_nearness_covers_whole_texts(hits, spoken, other):
+    words = ["grobble"] * hits + ["you"] * spoken + ["plain"] * other
+    random.Random(hits).shuffle(words)
+    at = {k for k, w in enumerate(words) if w == "you"}
+    want = sum(w == "grobble" and any(p in at for p in range(k - NEAR, k + NEAR + 1)) for k, w in enumerate(words))
+    assert Features({"=grobble": 3.0}).of(" ".join(words))[FEATURES.index("near_second_person")] == want
+
+
 def test_sample_is_bounded_and_repeatable(spark, labelled):
     from tidemark.llm.calibration import labelled_sample
 

@@ -51,6 +51,16 @@ def entries_of(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)] if word else []
 
 
+def close_to(places: list[int], others: list[int], reach: int = NEAR) -> int:
+    """How many of the sorted ``places`` have one of the sorted ``others`` at most ``reach`` away."""
+    if not places or not others:
+        return 0
+    at, of = np.array(places), np.array(others)
+    right = np.searchsorted(of, at)
+    left, right = of[np.maximum(right - 1, 0)], of[np.minimum(right, len(of) - 1)]
+    return int((np.minimum(np.abs(at - left), np.abs(at - right)) <= reach).sum())
+
+
 class Features:
     """Dense features under a lexicon; remembers a bounded number of words."""
 
@@ -82,7 +92,7 @@ class Features:
         n = max(1, len(words))
         hit = [k for k, f in enumerate(facts) if f[0]]
         spoken = [k for k, f in enumerate(facts) if f[1]]
-        near = int((np.abs(np.subtract.outer(np.array(hit[:4096]), np.array(spoken))).min(axis=1) <= NEAR).sum()) if hit and spoken and len(hit) * len(spoken) < 1 << 22 else 0
+        near = close_to(hit, spoken)
         total = sum(facts[k][0] for k in hit)
         raw = np.bincount(np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8), minlength=256)
         letters, size = max(1, raw[65:91].sum() + raw[97:123].sum()), max(1, raw.sum())
