@@ -31,5 +31,24 @@ def test_counts_base_and_gain(spark, docs, top):
     assert all(r.score < 0 for r in got)
 
 
+def test_previous_word_tells_words_of_a_class_apart(spark):
+    rng = random.Random(6)
+    words = [f"b{a}{b}{c}n" for a in "aeiou" for b in "bdfgk" for c in "aeiou"]
+    follow = dict(zip(words, rng.sample(words, len(words)), strict=True))
+
+    def chain():
+        w = [rng.choice(words)]
+        while len(w) < 60:
+            w.append(follow[w[-1]])
+        return " ".join(w)
+
+    frame = spark.createDataFrame([(k, chain()) for k in range(300)], "doc_id long, text string").cache()
+    got = [{(r.doc_id, r.held_out): (r.score, r.base_score) for r in lm_scores(frame, hot=hot, top=top).collect()} for hot, top in ((1 << 18, 1 << 18), (0, 1 << 18), (0, 0))]
+    for scores in got:
+        unseen = [s for (_, held), s in scores.items() if held]
+        assert unseen and sum(s for s, _ in unseen) > 0.7 * sum(b for _, b in unseen)  # words of a class follow each other by a fixed rule
+    assert [s for s, _ in got[0].values()] == pytest.approx([got[1][k][0] for k in got[0]], abs=1e-3)
+
+
 def test_nothing(empty):
     assert lm_scores(empty).count() == 0

@@ -1,6 +1,7 @@
-"""Hashed maximum-entropy language model with a class-factored softmax.
+"""Hashed maximum-entropy language model with a class-factored softmax, refined by counts of word pairs.
 
-    P(word | history) = P(class(word) | history) * (c(word) + 1) / Z(class)
+    Q(word | history) = P(class(word) | history) * (c(word) + 1) / Z(class)
+    P(word | history) = (c(previous, word) + K * Q(word | history)) / (c(previous) + K)
 
 * Counts c of all training tokens come from one distributed count.  The ``top`` most frequent words are broadcast
   (their number is the bound); all rarer and unknown words are resolved by a join on the word.
@@ -14,6 +15,10 @@
   change in blocks of rows; Spark averages the blocks, and the driver holds one set of weights.
 * Scoring: sparse numpy batches give log10 P(class | history); the words' own masses are added from the broadcast
   and from the join.
+* Pairs tell the words of a class apart by the previous word.  Every pair of the training documents counts.  The most
+  frequent ones, found in a slice and counted over all training documents, are broadcast (``hot`` at most); every other
+  token goes as a row by the hash of its pair to where the training rows with that hash are counted.
+* The hashed rows of the class features are ``ROWS`` at every corpus size; the pairs grow with the corpus.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.histogram import bucket_of
@@ -35,6 +40,9 @@ ROWS, BLOCK = 1 << 14, 256
 PAIRS = 1 << 12
 STEP = 8192
 SHRINK = 8.0
+PRIOR = 50.0  # K: tokens that Q is worth
+NONE = np.uint64(0xFFFFFFFF)
+SLICES = 8
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
@@ -137,8 +145,8 @@ class Classes:
         return self.cluster(words) * (BINS + 1) + BINS
 
 
-class Batch:
-    """Some documents as arrays: class and feature rows of every token, and which tokens are beyond the broadcast."""
+class Named:
+    """Some documents as arrays: number or hash of every token, which are beyond the broadcast, and hashes of pairs."""
 
     def __init__(self, texts: list[str | None], classes: Classes):
         from xxhash import xxh3_64_intdigest
@@ -152,23 +160,34 @@ class Batch:
         self.rare_words = list({words[k] for k in rare})
         number = {w: k for k, w in enumerate(self.rare_words)}
         self.rare, self.rare_number = rare, np.fromiter((number[words[k]] for k in rare), np.int64, len(rare))
-        self.cls = classes.of_top[np.maximum(self.top, 0)] if len(classes.of_top) else np.zeros(len(words), np.int64)
-        name = self.top.astype(np.uint64)
+        self.name = self.top.astype(np.uint64)
         if len(rare):
-            self.cls[rare] = classes.tail_class(self.rare_words)[self.rare_number]
-            name[rare] = np.fromiter((xxh3_64_intdigest(w) for w in self.rare_words), np.uint64, len(self.rare_words))[self.rare_number]
+            self.name[rare] = np.fromiter((xxh3_64_intdigest(w) for w in self.rare_words), np.uint64, len(self.rare_words))[self.rare_number]
         self.doc = np.repeat(np.arange(len(docs)), self.sizes)
-        place = np.arange(len(words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.place = np.arange(len(words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
 
-        def back(values, n, start):
-            out = np.full(len(values), start, values.dtype)
-            out[n:] = values[:-n] if n else values
-            out[place < n] = start
-            return out
+    def back(self, values, n, start):
+        out = np.full(len(values), start, values.dtype)
+        out[n:] = values[:-n] if n else values
+        out[self.place < n] = start
+        return out
 
-        c1, c2, c3 = (back(self.cls, n, CLASSES).astype(np.uint64) for n in (1, 2, 3))
-        none = np.uint64(0xFFFFFFFF)
-        keys = (back(name, 1, none), c1 * np.uint64(64) + c2, back(name, 2, none), c1 * np.uint64(64) + c3)
+    def pairs(self) -> np.ndarray:
+        """A hash of each token and the one before it."""
+        x = self.back(self.name, 1, NONE) * _MIX[0] + self.name * _MIX[1]
+        return ((x ^ x >> np.uint64(29)) * _MIX[2]).view(np.int64)
+
+
+class Batch(Named):
+    """Also class and feature rows of every token."""
+
+    def __init__(self, texts: list[str | None], classes: Classes):
+        super().__init__(texts, classes)
+        self.cls = classes.of_top[np.maximum(self.top, 0)] if len(classes.of_top) else np.zeros(len(self.top), np.int64)
+        if len(self.rare):
+            self.cls[self.rare] = classes.tail_class(self.rare_words)[self.rare_number]
+        c1, c2, c3 = (self.back(self.cls, n, CLASSES).astype(np.uint64) for n in (1, 2, 3))
+        keys = (self.back(self.name, 1, NONE), c1 * np.uint64(64) + c2, self.back(self.name, 2, NONE), c1 * np.uint64(64) + c3)
         self.rows = np.column_stack([((k + np.uint64(j + 1)) * m >> np.uint64(50)).astype(np.int64) for j, (k, m) in enumerate(zip(keys, _MIX, strict=True))])
 
 
@@ -265,10 +284,51 @@ def train(docs: DataFrame, classes_sent, bias: np.ndarray, rounds: int, rate: fl
     return weights
 
 
-SCORED = "rid long, doc_id long, n_tokens long, n_known long, own double, mass double, rare array<struct<word:binary,n:int>>"
+def hot_pairs(docs: DataFrame, training: DataFrame, classes_sent, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most ``hot`` pairs that are frequent in a slice of ``docs (doc_id, text)``, and their counts in ``training``.
+
+    Pairs whose second word is beyond the broadcast are left to the rows.
+    """
+
+    def counting(chosen):
+        def work(batches):
+            import pyarrow as pa
+
+            for _, texts in _chunks(batches, 0):
+                batch = Named(texts, classes_sent.value)
+                keys, c = np.unique(batch.pairs()[batch.top >= 0], return_counts=True)
+                if chosen is not None:
+                    own = found_in(chosen.value, keys) >= 0
+                    keys, c = keys[own], c[own]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c.astype(np.int64))], ["key", "c"])
+
+        return work
+
+    def counted(part, chosen=None):
+        return part.select("text").mapInArrow(counting(chosen), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+    slice_ = stage(counted(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(SLICES)) == 0)), "pairs").where("c > 1")
+    keys = np.sort(np.array(slice_.where(bucket_of(F.col("c")) >= frequency_cut(slice_, hot)).select("key").toArrow().column(0), np.int64))
+    chosen = docs.sparkSession.sparkContext.broadcast(keys)
+    amount = np.zeros(len(keys), np.float64)
+    if len(keys):
+        rows = counted(training, chosen).toArrow()
+        amount[np.searchsorted(keys, np.array(rows.column(0)))] = np.array(rows.column(1))
+    return keys, amount
+
+
+def found_in(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in the sorted ``keys``, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+SCORED = "rid long, doc_id long, n_tokens long, n_known long, own double, mass double, gain double, pairs array<struct<key:long,q:float>>, rare array<struct<word:binary,key:long,q:float>>"
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 1 << 18, rounds: int = 2, rate: float = 3.0) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 1 << 18, rounds: int = 2, rate: float = 3.0, hot: int = 1 << 20) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Rows whose CRC-32 of the identifier's text, modulo 7, is 2 are held out of counts and training (a row without an
@@ -282,7 +342,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     training = rows.where(~held)
     counts = stage(counts_of(training.select("text")), "counts")
-    total, kinds = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
+    total, kinds, ends = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first())
     cut = frequency_cut(counts, top)
     rows_ = counts.where(bucket_of(F.col("c")) >= cut).select("word", "c").toArrow().to_pydict()  # ``top`` rows at most
     first = sorted(zip(rows_["c"], rows_["word"], strict=True), key=lambda r: (-r[0], r[1]))
@@ -306,6 +366,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     mass = np.maximum(classes.mass, 1e-9)
     bias = np.log(mass / mass.sum())
     weights = spark.sparkContext.broadcast(train(training, sent, bias, rounds, rate))
+    pairs_sent = spark.sparkContext.broadcast(hot_pairs(rows, training, sent, hot))
 
     def work(batches):
         import pyarrow as pa
@@ -314,6 +375,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         rid = TaskContext.get().partitionId() << 40
         known = sent.value
         logs, masses = np.log10(known.counts + 1.0), np.log10(mass)
+        after = np.log10(known.counts / PRIOR + 1.0)  # what a word costs as the previous one
+        if END in known.index:
+            after[known.index[END]] = 0.0
+        keys, amounts = pairs_sent.value
         for part, texts in _chunks(batches, 1):
             batch = Batch(texts, known)
             n = len(texts)
@@ -325,29 +390,51 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
             in_top = batch.top >= 0
             amount = np.bincount(batch.doc[in_top], logs[batch.top[in_top]], n)
             seen = np.bincount(batch.doc[in_top], minlength=n)
-            kinds = max(1, len(batch.rare_words))
-            code, times = np.unique(batch.doc[batch.rare] * kinds + batch.rare_number, return_counts=True)
-            words = pa.array(batch.rare_words, pa.binary()).take(pa.array(code % kinds)) if len(code) else pa.array([], pa.binary())
-            offsets = np.searchsorted(code // kinds, np.arange(n + 1)).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([words, pa.array(times.astype(np.int32))], ["word", "n"])
-            arrays = [pa.array(rid + np.arange(n)), part.column(0), pa.array(batch.sizes), pa.array(seen.astype(np.int64)), pa.array(own), pa.array(amount), pa.ListArray.from_arrays(pa.array(offsets), pairs)]
+            pair, at = batch.pairs(), np.full(len(chosen), -1)
+            at[in_top] = found_in(keys, pair[in_top])
+            q = np.exp(chosen) / mass[batch.cls]
+            q[in_top] *= known.counts[batch.top[in_top]] + 1.0
+            gain = np.zeros(len(chosen))
+            gain[at >= 0] = np.log10(1.0 + amounts[at[at >= 0]] / (PRIOR * q[at >= 0]))
+            gain[in_top] -= after[batch.top[in_top]]
+            gain = np.bincount(batch.doc, gain, n) - math.log10(ends / PRIOR + 1.0)
+
+            def lists(own, names, columns, batch=batch, n=n):
+                offsets = np.searchsorted(batch.doc[own], np.arange(n + 1)).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, names))
+
+            rest, far = np.flatnonzero(in_top & (at < 0)), batch.rare
+            words = pa.array(batch.rare_words, pa.binary()).take(pa.array(batch.rare_number))
+            small = q.astype(np.float32)
+            arrays = [
+                pa.array(rid + np.arange(n)), part.column(0), pa.array(batch.sizes), pa.array(seen.astype(np.int64)), pa.array(own), pa.array(amount, pa.float64()), pa.array(gain),
+                lists(rest, ["key", "q"], [pa.array(pair[rest]), pa.array(small[rest])]),
+                lists(far, ["word", "key", "q"], [words, pa.array(pair[far]), pa.array(small[far])]),
+            ]
             rid += n
-            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "n_tokens", "n_known", "own", "mass", "rare"])
+            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "n_tokens", "n_known", "own", "mass", "gain", "pairs", "rare"])
 
     scored = stage(rows.mapInArrow(work, SCORED), "scored")
-    rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n")
+    side = F.when(held, -1.0).otherwise(1.0).cast("float").alias("side")  # narrow rows: the sign of q tells training rows
+    near = scored.select("rid", side, F.explode("pairs").alias("r")).select("rid", "r.key", (F.col("r.q") * F.col("side")).alias("q"))
+    rare = scored.select("rid", side, F.explode("rare").alias("r")).select("rid", "side", "r.*").join(counts, "word")
+    c = F.col("c")
+    every = near.unionByName(rare.select("rid", "key", (F.col("q") * F.col("side") * (c + 1)).cast("float").alias("q")))
+    seen_pairs = F.count_if(F.col("q") > 0).over(Window.partitionBy("key"))
+    own = rare.select("rid", F.lit(1).alias("known"), F.log10(c + 1.0).alias("mass"), F.when(F.col("word") == F.lit(END), 0.0).otherwise(-F.log10(c / PRIOR + 1.0)).alias("gain"))
     found = (
-        rare.join(counts, "word").groupBy("rid")
-        .agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_mass"))
+        every.select("rid", F.lit(0).alias("known"), F.lit(0.0).alias("mass"), F.log10(1.0 + seen_pairs / (PRIOR * F.abs("q"))).alias("gain"))
+        .unionByName(own).groupBy("rid").agg(F.sum("known").alias("more_known"), F.sum("mass").alias("more_mass"), F.sum("gain").alias("more_gain"))
     )
     known = F.col("n_known") + F.coalesce("more_known", F.lit(0))
     amount = F.col("mass") + F.coalesce("more_mass", F.lit(0.0))
-    return scored.drop("rare").join(found, "rid", "left").select(
+    gain = F.col("gain") + F.coalesce("more_gain", F.lit(0.0))
+    return scored.drop("pairs", "rare").join(found, "rid", "left").select(
         "doc_id",
         held.alias("held_out"),
         "n_tokens",
         known.alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (amount - F.col("n_tokens") * math.log10(total + kinds + 1)).alias("base_score"),
-        (amount + F.col("own")).alias("score"),
+        (amount + F.col("own") + gain).alias("score"),
     )
