@@ -58,6 +58,15 @@ def test_filter_keeps_columns(docs, spark, labelled):
     assert out.columns == docs.columns
 
 
+@pytest.mark.parametrize("name", [None, 5000])
+def test_only_the_poor_row_of_an_identifier_goes(spark, labelled, name):
+    docs, labels = labelled
+    clean, poor = (docs.where(f"doc_id = {k}").first().text for k in (1, 4))
+    more = docs.where("doc_id is not null").union(spark.createDataFrame([(name, clean), (name, poor)], "doc_id long, text string"))
+    kept = drop_poor(more, labels)
+    assert [r.text for r in kept.where(f"doc_id <=> {'null' if name is None else name}").collect()] == [clean]
+
+
 def test_statistics_of_odd_texts():
     for text in (None, "", " ", "\ud800", "a" * 10_000, "| | |\n\n| |"):
         assert np.isfinite(statistics(text)).all()

@@ -85,3 +85,10 @@ def test_filter_and_empty_tables(spark, docs, empty):
     assert drop_contaminated(docs, none).count() == docs.count()
     one = drop_contaminated(docs, bench, min_items=1)
     assert one.columns == docs.columns and one.where("text = 'no identifier'").count() == 0
+
+
+@pytest.mark.parametrize("name", [None, 7])
+def test_only_the_bad_row_of_an_identifier_goes(spark, name):
+    bench = spark.createDataFrame([(2, "one two three four five six seven eight")], BENCH)
+    rows = spark.createDataFrame([(name, "one two three four five six seven eight"), (name, "a clean text"), (name, None)], "doc_id long, text string")
+    assert {r.text for r in drop_contaminated(rows, bench, min_items=1).collect()} == {"a clean text", None}

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .shared import row_key
 
 #: Bytes of words: digits, small letters, and everything beyond ASCII; capitals become small, the rest separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -231,10 +232,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **o
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", min_items: int = 2, **options) -> DataFrame:
-    """The documents with fewer than ``min_items`` items in them, with all their columns."""
-    bad = contamination(docs, benchmark, min_items, id_col=id_col, **options).where("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad_id"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", min_items: int = 2, text_col: str = "text", **options) -> DataFrame:
+    """The documents with fewer than ``min_items`` items in them, with all their columns.
+
+    Each row is judged by its own text, also where identifiers are null or repeated.
+    """
+    keyed = docs.withColumn("__row", row_key(id_col, text_col))
+    bad = contamination(keyed, benchmark, min_items, id_col="__row", text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(bad, "__row", "left_anti").select(*(keyed[c] for c in docs.columns))
 
 
 def items_digest(items: list[int]) -> str:

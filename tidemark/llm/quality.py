@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .calibration import calibrated, fold_of, held_out, isotonic, labelled_sample
-from .shared import stage
+from .shared import row_key, stage
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_spread", "types_of_tokens", "top_word_share", "same_word_twice", "distinct_trigrams",
@@ -75,8 +75,8 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, x`` for every row, in the shared folder."""
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, x`` and the long columns ``carried`` for every row, in the shared folder."""
     ship(docs.sparkSession)
 
     def work(batches):
@@ -85,9 +85,9 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([statistics(t.as_py()) for t in part.column(1)], pa.list_(pa.float64()))], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([statistics(t.as_py()) for t in part.column(1)], pa.list_(pa.float64())), *part.columns[2:]], ["doc_id", "x", *carried])
 
-    return stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, x array<double>"), "statistics")
+    return stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carried).mapInArrow(work, ", ".join(["doc_id long, x array<double>", *(f"`{c}` long" for c in carried)])), "statistics")
 
 
 class FourierRidge:
@@ -158,14 +158,14 @@ def fit(sample: DataFrame, features: int = 384, width: float = 1.0, ridge: float
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.7, fit_rows: int = 60_000, **options) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``.
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.7, fit_rows: int = 60_000, carried: tuple[str, ...] = (), **options) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` and the long columns ``carried`` for every row of ``docs``.
 
     ``score`` is the calibrated probability of label 1, from the text alone; null text scores as empty text does.
     Without labels every score is 0.5.  Repeated rows get equal scores.  ``fit_rows`` bounds the labelled rows that
     the model learns from.
     """
-    table = document_statistics(docs, id_col, text_col)
+    table = document_statistics(docs, id_col, text_col, carried)
     chosen = labelled_sample(table, labels, label, fit_rows)
     model = fit(table.dropDuplicates(["doc_id"]).join(chosen, "doc_id"), **options)
 
@@ -174,13 +174,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(x)), *batch.columns[2:]], ["doc_id", "score", *carried])
 
-    scored = table.mapInArrow(work, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = table.mapInArrow(work, ", ".join(["doc_id long, score double", *(f"`{c}` long" for c in carried)]))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carried)
 
 
-def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
-    poor = quality_scores(docs, labels, id_col, **options).where("predicted = 0").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(poor, docs[id_col].eqNullSafe(poor["__bad_id"]), "left_anti")
+def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that the classifier does not reject, with all their columns.
+
+    Each row is judged by its own text, also where identifiers are null or repeated.
+    """
+    keyed = docs.withColumn("__row", row_key(id_col, text_col))
+    poor = quality_scores(keyed, labels, id_col, text_col, carried=("__row",), **options).where("predicted = 0").select("__row").distinct()
+    return keyed.join(poor, "__row", "left_anti").select(*(keyed[c] for c in docs.columns))

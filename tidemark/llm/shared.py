@@ -12,7 +12,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,6 +40,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit hash of identifier and text: rows that share it are equal in both."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def open_filesystem(uri: str):
     """The Arrow filesystem and the path in it for a URI such as ``file:/x``, ``hdfs://h/x`` or ``/x``."""
     from pyarrow import fs
