@@ -1,26 +1,46 @@
+import functools
 import io
 import random
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from tidemark.llm.encoding import PieceEncoder
+from tidemark.llm.encoding import PieceEncoder, _Known
 from tidemark.llm.packing import hilbert_key, pack, powers_of_two
-from tidemark.llm.sst import ShardReader, ShardWriter, id_of, key_of, read_token_shards, write_token_shards
+from tidemark.llm.sst import ShardReader, ShardWriter, id_of, key_of, look_up, read_token_shards, write_token_shards
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
+library = functools.cache(Tokenizer.from_file)
+
+
+def library_ids(path, text):
+    return library(path).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("as_text", [False, True])
 @pytest.mark.parametrize("path", [WORD, BYTE])
-def test_pieces_encode_as_whole_texts(path):
-    fast, whole = PieceEncoder(path), PieceEncoder(path, pieces=False)
+def test_pieces_encode_as_the_library_does(path, as_text):
+    fast, plain = PieceEncoder(path, special_as_text=as_text), Tokenizer.from_file(path)
+    plain.encode_special_tokens = as_text
     assert fast.pattern is not None
     rng = random.Random(1)
-    letters = "aZé ß.'!0912s tre\n\t\r\xa0 　́<|endoftext|>İσΣǅ中文😀_-\x1c\x85​"
-    for text in ["", " ", "  a  b ", "don't I'LL we've", "x" * 5000, "\n\n \n", *("".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(1500))]:
-        assert fast.encode(text) == whole.encode(text), repr(text)
+    letters = [*"aZé ß.'!0912s tre\n\t\r\xa0 　́<|endoftext|>İσΣǅ中文😀_-\x1c\x85​", "<|endoftext|>", " <|startoftext|>", "<|endoftext"]
+    for text in ["", " ", "  a  b ", "don't I'LL we've", "x" * 5000, "\n\n \n", "stop <|endoftext|> now", *("".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(1500))]:
+        assert np.frombuffer(fast.encode(text), fast.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_the_encoder_remembers_a_bounded_number_of_bytes():
+    known = _Known(lambda piece: piece.encode(), limit=100_000)
+    for k in range(5000):
+        assert known[f"piece{k}"] == f"piece{k}".encode()
+        assert sum(sys.getsizeof(p) + len(v) for t in (known, known.old) for p, v in t.items()) < 100_000
+    assert known["y" * 10_000] == b"y" * 10_000 and "y" * 10_000 not in known
 
 
 def crc(ids):
@@ -28,8 +48,7 @@ def crc(ids):
 
 
 def whole_ids(path, text, end):
-    ids = np.frombuffer(PieceEncoder(path, pieces=False).encode(text), "<u2").tolist()
-    return [*ids, end]
+    return [*library_ids(path, text), end]
 
 
 def test_shard_round_trip_and_lookup():
@@ -65,17 +84,19 @@ def test_keys_keep_order():
 def test_token_shards(spark, docs, rows_of):
     manifest = write_token_shards(docs, WORD, shard_bytes=30_000)
     assert manifest.count() > 4
-    got = sorted((tuple(r) for r in read_token_shards(spark, manifest).collect()), key=lambda r: r[1])
+    got = sorted((tuple(r) for r in read_token_shards(manifest).collect()), key=lambda r: r[1])
     start, want = 0, []
     for i, t in sorted(rows_of, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = whole_ids(WORD, t or "", 1)
         want.append((i, start, len(ids), crc(ids)))
         start += len(ids)
     assert got == want
+    assert [x.tolist() for x in look_up(manifest, 8)] == [[*whole_ids(WORD, t, 1)] for _, t in sorted((r for r in rows_of if r[0] == 8), key=lambda r: r[1])]
+    assert len(look_up(manifest, None)) == sum(i is None for i, _ in rows_of) and look_up(manifest, 99) == []
 
 
 def test_token_shards_of_nothing(spark, empty):
-    assert read_token_shards(spark, write_token_shards(empty, WORD)).count() == 0
+    assert read_token_shards(write_token_shards(empty, WORD)).count() == 0
 
 
 def test_hilbert_curve_visits_neighbours():

@@ -3,7 +3,8 @@
 Most pre-tokenizers never join characters across certain white space, so a text's ids are the ids of its pieces one
 after the other.  ``PieceEncoder`` splits a text at those places, encodes each distinct piece once through the
 library and keeps the ids of a bounded number of pieces.  Two kinds of tokenizer file are recognised from their
-configuration; any other is applied to whole texts.
+configuration; any other is applied to whole texts.  The strings of special tokens in a text become their ids, as the
+library does by default, or stay ordinary text with ``special_as_text``.
 
 * byte level with the usual pattern and no normaliser: a piece is a run of other characters with at most one space
   before it, or white space that the pattern keeps apart;
@@ -15,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -23,8 +25,9 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BYTE_PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _WORD_PIECES = re.compile("[^ \t\n\r]+")
-_CACHED_PIECES = 400_000
-_loaded: dict[str, PieceEncoder] = {}
+_CACHED_BYTES, _CACHED_PIECE = 64 << 20, 2048
+_ENTRY = 140  # bytes of a dictionary entry and a bytes object, about
+_loaded: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 def _pieces_of(config: dict):
@@ -64,17 +67,25 @@ def _byte_letters() -> str:
 
 
 class _Known(dict):
-    """Ids of pieces; a piece that is not there is encoded.  Holds about as many pieces as were used last."""
+    """Ids of pieces; a piece that is not there is encoded.
 
-    def __init__(self, encode):
-        self.encode, self.old = encode, {}
+    Holds about ``limit`` bytes of what was used last: a full table becomes the old one, from which pieces that are
+    used again are taken over.  Long pieces are encoded each time.
+    """
+
+    def __init__(self, encode, limit: int = _CACHED_BYTES):
+        self.encode, self.old, self.limit, self.held = encode, {}, limit, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             ids = self.encode(piece)
-        if len(self) >= _CACHED_PIECES // 2:
-            self.old = dict(self)
+        size = sys.getsizeof(piece) + len(ids) + _ENTRY
+        if size > _CACHED_PIECE:
+            return ids
+        self.held += size
+        if self.held > self.limit // 2:
+            self.old, self.held = dict(self), size
             self.clear()
         self[piece] = ids
         return ids
@@ -83,18 +94,22 @@ class _Known(dict):
 class PieceEncoder:
     """Encodes texts to little-endian id bytes, 2 bytes an id if the vocabulary allows it, else 4."""
 
-    def __init__(self, path: str, pieces: bool = True):
+    def __init__(self, path: str, pieces: bool = True, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
-        self.pattern = _pieces_of(config) if pieces else None
-        self.known, self.model, self.letters = _Known(self._piece), self.tokenizer.model, _byte_letters()
+        marks = [] if special_as_text else config.get("added_tokens") or []
+        plain = not any(x.get(k) for x in marks for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        self.pattern = _pieces_of(config) if pieces and plain else None
+        self.special = {x["content"]: np.array([x["id"]], self.dtype).tobytes() for x in marks if x["content"]}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.known, self.model, self.letters = _Known(self._piece, _CACHED_BYTES // 2), self.tokenizer.model, _byte_letters()
         self.lower = any(x.get("type") == "Lowercase" for x in (config.get("normalizer") or {}).get("normalizers", []))
         self.pre_tokens = _PRE_TOKENS.get(self.pattern)
         self.single = _Known(self._pre_token)
@@ -119,6 +134,11 @@ class PieceEncoder:
             return b""
         if self.pattern is None:
             return self._whole(text)
+        if self.marks and self.marks.search(text):  # the library, too, encodes what lies between special tokens by itself
+            return b"".join([self.special.get(x) or self._between(x) for x in self.marks.split(text)])
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
         if len(text) <= 1 << 23:
             if _PLAIN_TEXT.fullmatch(text):
                 return b"".join(map(self.single.__getitem__, self.pre_tokens.findall(text.lower() if self.lower else text)))
@@ -132,11 +152,12 @@ class PieceEncoder:
         return b"".join([*parts, *map(self.known.__getitem__, held)])
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     """The process's encoder for a tokenizer file."""
-    if path not in _loaded:
-        _loaded[path] = PieceEncoder(path)
-    return _loaded[path]
+    key = path, special_as_text
+    if key not in _loaded:
+        _loaded[key] = PieceEncoder(path, special_as_text=special_as_text)
+    return _loaded[key]
 
 
 def crc32_of_ids(ids: np.ndarray) -> int:

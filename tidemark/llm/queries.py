@@ -19,7 +19,7 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sst import read_token_shards, write_token_shards
 
     manifest = write_token_shards(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
-    return read_token_shards(spark, manifest)
+    return read_token_shards(manifest)
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ the one before it; at every ``RESTART``-th entry the key is whole, so a reader c
 filter, finds the block by binary search in the index, the restart by binary search in the block, and scans at most
 ``RESTART`` entries.  Readers fetch single blocks, so memory is bounded by the largest document plus a block.
 
-A writing task names its files by attempt and reports them in its rows; only files named in the written manifest
-count, so a lost or repeated task leaves no half-written shard behind.
+A writing task names its files by attempt, lists its shards in a manifest file of its own and reports that file; only
+the files reported by tasks that succeeded count, so a lost or repeated task leaves no half-written shard behind.  The
+driver gets one narrow row per task, from which it knows where each task's ids start.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ import zlib
 from bisect import bisect_left
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..shipping import ship
 from .encoding import crc32_of_ids, encoder
-from .shared import new_folder, open_filesystem, shuffle_width, stage
+from .shared import new_folder, open_filesystem, shuffle_width
 
 MAGIC = b"TMSST01\n"
 RESTART = 16
@@ -207,16 +208,35 @@ class ShardReader:
         return found
 
 
-MANIFEST = "part int, shard int, path string, n_docs long, n_tokens long, bytes long, first_id long, last_id long"
+SHARDS = "part int, shard int, path string, n_docs long, n_tokens long, bytes long, first_id long, last_id long"
+MANIFEST = SHARDS + ", start long"
+_TASK = "part int, path string, n_shards long, n_tokens long, bytes long"
 
 
-def write_token_shards(docs: DataFrame, tokenizer_path: str, out_uri: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, shard_bytes: int = 64 << 20) -> DataFrame:
+def _schema(ddl: str):
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
+
+
+def write_token_shards(
+    docs: DataFrame,
+    tokenizer_path: str,
+    out_uri: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    end_id: int | None = 1,
+    shard_bytes: int = 64 << 20,
+    special_as_text: bool = False,
+) -> DataFrame:
     """Encode every text and write shards below ``out_uri`` (a shared folder); returns the manifest.
 
     The manifest has a row per shard: ``part, shard, path, n_docs, n_tokens, bytes, first_id, last_id`` and
     ``start``, the ids in all shards before it.  Shards ascend by (part, shard), and so do identifiers through them;
-    null identifiers come first and rows with the same identifier in the order of their texts.  ``end_id`` is appended
-    to each document.  Null text is empty; an empty table gives an empty manifest.
+    null identifiers come first and rows with the same identifier in the order of their texts.  Identifiers are whole
+    numbers, or what a cast to long accepts.  ``end_id`` is appended to each document.  Null text is empty; an empty
+    table gives an empty manifest.  The files are written at once, not when the manifest is read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -224,9 +244,10 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, out_uri: str | None
 
     def work(batches):
         import pyarrow as pa
+        import pyarrow.parquet as pq
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, special_as_text)
         tail = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         fs, base = open_filesystem(folder)
         part, number, rows = TaskContext.get().partitionId(), 0, []
@@ -254,26 +275,53 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, out_uri: str | None
                 repeat = repeat + 1 if doc == last else 0
                 last = doc
                 writer.add(key_of(doc, repeat), enc.encode(text.as_py()) + tail)
-        if writer is not None:
-            finish()
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        names = [x.split()[0] for x in MANIFEST.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        if writer is None:
+            return
+        finish()
+        name = f"manifest-{part:06d}-{uuid.uuid4().hex}.parquet"
+        columns = list(zip(*rows, strict=True))
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+            pq.write_table(pa.table(columns, schema=_schema(SHARDS)), out)
+        yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name}", "n_shards": len(rows), "n_tokens": sum(columns[4]), "bytes": sum(columns[5])}], _schema(_TASK))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    manifest = stage(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(work, MANIFEST), "manifest")
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    tasks = sorted(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(work, _TASK).collect())  # a row per task
+    starts, at = [], 0
+    for t in tasks:
+        starts.append((t.path, at))
+        at += t.n_tokens
+
+    def listed(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, own = open_filesystem(path)
+                with fs.open_input_file(own) as source:
+                    shards = pq.read_table(source)
+                before = np.cumsum([start, *shards.column("n_tokens").to_pylist()])[:-1]
+                yield from shards.append_column("start", pa.array(before, pa.int64())).to_batches()
 
+    width = max(1, min(shuffle_width(spark), len(tasks), -(-sum(t.bytes for t in tasks) // READ_BYTES)))
+    return spark.createDataFrame(starts, "path string, start long").repartition(width).mapInArrow(listed, MANIFEST)
 
-def read_token_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+
+#: Bytes of shards that one task reads, if there are so many.
+READ_BYTES = 4 << 20
+
+
+def read_token_shards(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, read back from the files of a manifest."""
-    ship(spark)
+    ship(manifest.sparkSession)
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def work(batches):
         import pyarrow as pa
 
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, at = open_filesystem(path)
@@ -283,9 +331,20 @@ def read_token_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         out.append((doc, start, len(ids), crc32_of_ids(ids)))
                         start += len(ids)
                         if len(out) >= 4096:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                            yield table(out)
                             out = []
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield table(out)
+
+    return manifest.select("path", "start").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
 
-    return manifest.select("path", "start").repartition(shuffle_width(spark)).mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def look_up(manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:
+    """Ids of the documents with this identifier, from the shards whose range of identifiers holds it."""
+    own = manifest.where(F.col("first_id").isNull() if doc_id is None else (F.coalesce("first_id", F.lit(-(1 << 63))) <= doc_id) & (F.col("last_id") >= doc_id))
+    found = []
+    for row in own.select("path").toLocalIterator():
+        fs, at = open_filesystem(row.path)
+        with fs.open_input_file(at) as source:
+            found += ShardReader(source).get(doc_id)
+    return found
