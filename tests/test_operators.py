@@ -88,7 +88,7 @@ def test_generated_log_to_report_and_history(spark, tmp_path):
     assert report.run["skipped"] + report.totals["calls"] == 1500
     assert json.loads(render(report, "json"))["severities"] == report.severities
     assert render(report, "markdown").count("\n| ") >= 7 and "[critical]" in render(report, "text")
-    text = api.analyze_text(spark, "".join(open(f"{path}/{n}").read() for n in sorted(os.listdir(path)) if n.startswith("part")), None, Options(top=0, sort="calls", database="SHOP"))
+    text = api.analyze_text(spark, "".join(open(f"{path}/{n}").read() for n in sorted(os.listdir(path)) if n.startswith("part")), None, Options(top=0, sort="calls", database="POST"))
     assert text.run["filtered"] == 0 and len(text.classes) == report.run["class_count"]
     stores = [ParquetHistory(spark, f"{tmp_path}/history"), MemoryHistory(spark)]
     for s in stores:
@@ -136,12 +136,30 @@ def test_queries_agree_with_sql(spark, name):
     assert plain(frame) == plain(want)
 
 
-def test_registry_imports_without_the_corpus_operators(monkeypatch):
-    import importlib
-    import importlib.util
-
-    import __spark_entry__ as entry
-
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n.startswith(("tidemark.llm", "corpus_pipeline")) else real(n, *a))
-    assert set(entry.queries()) == set(plans.QUERIES) and set(entry.oracle_sql()) == set(plans.ORACLE)
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_the_rest_stands_without_the_corpus_operators(tmp_path, pipeline):
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = shutil.copytree(here, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", *([] if pipeline else ["corpus_pipeline.py"])))
+    assert not (copy / "tidemark" / "llm").exists() and not (copy / "tests" / "llm").exists()
+    script = "import __spark_entry__ as e, bench; from tidemark import plans; assert set(e.queries()) == set(plans.QUERIES) and set(e.oracle_sql()) == set(plans.ORACLE)"
+    subprocess.run([sys.executable, "-B", "-c", script], cwd=copy, check=True, timeout=120)
+    told = subprocess.run([sys.executable, "-B", "-m", "pytest", "tests", "-q", "--collect-only", "-p", "no:cacheprovider"], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert told.returncode == 0, told.stdout
+
+
+def test_errors_within_the_corpus_operators_are_not_swallowed(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = shutil.copytree(here, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    (copy / "tidemark" / "llm").mkdir()
+    (copy / "tidemark" / "llm" / "__init__.py").write_text("")
+    (copy / "tidemark" / "llm" / "queries.py").write_text("import a_module_that_is_not_there\n")
+    told = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; e.queries()"], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert told.returncode and "a_module_that_is_not_there" in told.stderr

@@ -1,7 +1,7 @@
-"""Synthetic slow logs: weighted scenarios of a shop, each event drawn from hashes of its number.
+"""Synthetic slow logs: weighted scenarios of a parcel service, each event drawn from hashes of its number.
 
-The same seed and number give the same event on any cluster; the distributions are those of the table below, the
-bytes are this package's own.
+The same seed and number give the same event on any cluster.  The distributions are those of the table below; the
+statements and the bytes are this package's own.
 """
 
 from __future__ import annotations
@@ -9,29 +9,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Weight, median milliseconds, sigma, rows examined, rows sent, flags (s scan, f sort, t temporary table, d on disk), statement.
-SCENARIOS = (
-    (30.0, 0.18, 0.4, 1, 1, "", "SELECT id, sku, name, price FROM products WHERE id = {n}"),
-    (20.0, 0.12, 0.3, 1, 1, "", "SELECT customer_id, expires_at FROM sessions WHERE token = '{h}'"),
-    (12.0, 42.0, 0.5, 3_200, 20, "f", "SELECT id, status, total, created_at FROM orders WHERE customer_id = {n} AND status = 'paid' ORDER BY created_at DESC LIMIT 20"),
-    (10.0, 180.0, 0.35, 480_000, 3, "s", "SELECT oi.product_id, oi.quantity, p.name\nFROM order_items oi\nJOIN products p ON p.id = oi.product_id\nWHERE oi.order_id = {n}"),
-    (8.0, 0.9, 0.5, 0, 0, "", "INSERT INTO orders (customer_id, status, total, created_at) VALUES ({n}, 'new', {m}.50, NOW())"),
-    (8.0, 1.3, 0.5, 0, 0, "", "INSERT INTO order_items (order_id, product_id, quantity) VALUES ({n}, {m}, 1), ({n}, 7, 2)"),
-    (8.0, 115.0, 0.3, 200_000, 1, "s", "SELECT id, full_name FROM customers WHERE LOWER(email) = 'user{n}@example.com'"),
-    (6.0, 0.7, 0.4, 1, 0, "", "UPDATE orders SET status = 'shipped', updated_at = NOW() WHERE id = {n}"),
-    (6.0, 88.0, 0.4, 50_000, 50, "sf", "SELECT id, name, price FROM products WHERE name LIKE '%item {m}%' ORDER BY price LIMIT 50"),
-    (5.0, 3.0, 0.4, 40, 20, "f", "SELECT id, rating, body FROM reviews WHERE product_id = {n} ORDER BY created_at DESC LIMIT 4000, 20"),
-    (4.0, 125.0, 0.3, 200_000, 1, "s", "SELECT id, full_name FROM customers WHERE phone = 55500{m}"),
-    (3.0, 62.0, 0.3, 100_000, 8, "sft", "SELECT id, name, price FROM products ORDER BY RAND() LIMIT 8"),
-    (2.0, 140.0, 0.3, 200_000, 1, "s", "SELECT id FROM customers WHERE email = 'user{n}@example.com' OR phone = '55500{m}'"),
-    (1.0, 28.0, 0.3, 320, 320, "", "SELECT id, price FROM products WHERE id IN ({list})"),
-    (1.0, 870.0, 0.25, 2_000_000, 30, "st", "SELECT DATE(created_at) AS day, SUM(total) AS revenue FROM orders WHERE DATE(created_at) >= '2024-01-01' GROUP BY DATE(created_at)"),
-    (0.5, 74.0, 0.2, 5_000, 11, "t", "SELECT category, COUNT(*) AS n FROM products GROUP BY category HAVING category <> 'misc'"),
-    (0.5, 790.0, 0.3, 300_000, 0, "s", "DELETE FROM sessions WHERE expires_at < '2024-01-01'"),
-    (0.3, 2_400.0, 0.2, 5_000_000, 1_200, "std", "SELECT id, name FROM products WHERE id NOT IN (SELECT product_id FROM order_items)"),
-    (0.1, 7_900.0, 0.15, 50_000_000, 1, "s", "SELECT COUNT(*) FROM customers, orders WHERE customers.country = 'BR'"),
-    (0.05, 3_100.0, 0.1, 200_000, 0, "s", "UPDATE customers SET tier = 1"),
+#: Fixed values of the workload: weight, median milliseconds, sigma, rows examined, rows sent, flags (s scan, f sort,
+#: t temporary table, d on disk).
+FIGURES = (
+    (30.0, 0.18, 0.4, 1, 1, ""),
+    (20.0, 0.12, 0.3, 1, 1, ""),
+    (12.0, 42.0, 0.5, 3_200, 20, "f"),
+    (10.0, 180.0, 0.35, 480_000, 3, "s"),
+    (8.0, 0.9, 0.5, 0, 0, ""),
+    (8.0, 1.3, 0.5, 0, 0, ""),
+    (8.0, 115.0, 0.3, 200_000, 1, "s"),
+    (6.0, 0.7, 0.4, 1, 0, ""),
+    (6.0, 88.0, 0.4, 50_000, 50, "sf"),
+    (5.0, 3.0, 0.4, 40, 20, "f"),
+    (4.0, 125.0, 0.3, 200_000, 1, "s"),
+    (3.0, 62.0, 0.3, 100_000, 8, "sft"),
+    (2.0, 140.0, 0.3, 200_000, 1, "s"),
+    (1.0, 28.0, 0.3, 320, 320, ""),
+    (1.0, 870.0, 0.25, 2_000_000, 30, "st"),
+    (0.5, 74.0, 0.2, 5_000, 11, "t"),
+    (0.5, 790.0, 0.3, 300_000, 0, "s"),
+    (0.3, 2_400.0, 0.2, 5_000_000, 1_200, "std"),
+    (0.1, 7_900.0, 0.15, 50_000_000, 1, "s"),
+    (0.05, 3_100.0, 0.1, 200_000, 0, "s"),
 )
+#: The statement of each scenario; the marks stand for a number, a small number, a digest and a list of numbers.
+STATEMENTS = (
+    "SELECT parcel_no, weight_g, state FROM parcels WHERE parcel_no = {n}",
+    "SELECT courier_id, valid_until FROM badges WHERE code = '{h}'",
+    "SELECT parcel_no, weight_g FROM parcels WHERE depot_id = {n} AND state = 'held' ORDER BY arrived_at DESC LIMIT 15",
+    "SELECT s.place, s.noted_at, c.nickname\nFROM scans AS s\nINNER JOIN couriers AS c ON c.courier_id = s.courier_id\nWHERE s.parcel_no = {n}",
+    "INSERT INTO parcels (depot_id, state, weight_g, arrived_at) VALUES ({n}, 'held', {m}, CURRENT_TIMESTAMP)",
+    "INSERT INTO scans (parcel_no, courier_id, place) VALUES ({n}, {m}, 'gate'), ({n}, {m}, 'ramp')",
+    "SELECT courier_id, nickname FROM couriers WHERE UPPER(licence) = 'LC-{n}'",
+    "UPDATE parcels SET state = 'sent', left_at = CURRENT_TIMESTAMP WHERE parcel_no = {n}",
+    "SELECT depot_id, street FROM depots WHERE street LIKE '%lane {m}' ORDER BY city LIMIT 25",
+    "SELECT noted_at, place FROM scans WHERE courier_id = {n} ORDER BY noted_at LIMIT 3000, 25",
+    "SELECT courier_id, nickname FROM couriers WHERE mobile = 4470{m}",
+    "SELECT parcel_no FROM parcels ORDER BY RAND() LIMIT 5",
+    "SELECT depot_id, open FROM depots WHERE city = 'town {n}' OR postcode = 'P{m}'",
+    "SELECT parcel_no, state FROM parcels WHERE parcel_no IN ({list})",
+    "SELECT YEAR(left_at) AS y, COUNT(*) AS sent FROM parcels WHERE YEAR(left_at) = 2023 GROUP BY YEAR(left_at)",
+    "SELECT state, MAX(weight_g) AS heaviest FROM parcels GROUP BY state HAVING state <> 'lost'",
+    "DELETE FROM badges WHERE valid_until < '2023-06-01'",
+    "SELECT nickname FROM couriers WHERE courier_id NOT IN (SELECT courier_id FROM scans)",
+    "SELECT COUNT(*) FROM depots, couriers WHERE depots.city = 'Porto'",
+    "UPDATE depots SET open = 1",
+)
+SCENARIOS = tuple((*figures, statement) for figures, statement in zip(FIGURES, STATEMENTS, strict=True))
 #: First second, largest gap in microseconds, and how often an event is an administrator command.
 START, GAP_US, ADMIN_EVERY = 1_705_312_800, 40_000, 250
 
@@ -68,8 +93,8 @@ def generate_events(spark: SparkSession, events: int = 10_000, seed: int = 42, p
         "seq",
         "scenario",
         sql.alias("sql"),
-        F.lit("app").alias("user"),
-        F.concat(F.lit("app-"), (F.col("u5") * 3 + 1).cast("int").cast("string")).alias("host"),
+        F.lit("clerk").alias("user"),
+        F.concat(F.lit("desk-"), (F.col("u5") * 3 + 1).cast("int").cast("string")).alias("host"),
         (F.col("u6") * 24 + 8).cast("long").alias("thread_id"),
         F.when(F.col("admin"), F.lit(3)).otherwise(F.greatest(F.lit(1), (of(1, "double") * 1000 * F.exp(of(2, "double") * normal)).cast("long"))).cast("long").alias("query_time_us"),
         F.lit(2).cast("long").alias("lock_time_us"),
@@ -81,7 +106,7 @@ def generate_events(spark: SparkSession, events: int = 10_000, seed: int = 42, p
     )
 
 
-def log_text(events: DataFrame, extra_fields: bool = True, database: str = "shop") -> DataFrame:
+def log_text(events: DataFrame, extra_fields: bool = True, database: str = "post") -> DataFrame:
     """``seq, value``: the text of each event, without the last line feed; only event 0 names the database."""
     seconds = lambda c: F.format_string("%d.%06d", F.floor(F.col(c) / 1_000_000), F.col(c) % 1_000_000)
     flag = lambda letter, yes: F.when(F.contains("flags", F.lit(letter)), F.lit(yes)).otherwise(F.lit("0"))
