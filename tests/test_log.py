@@ -5,39 +5,39 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.sources.records import cuts, parse_log_time, parse_microseconds, parse_text, parsed_parts
-from tidemark.sources.slowlog import log_counters, read_log_text, read_slow_log, stream_slow_log
+from tidemark.sources.slowlog import log_counters, read_log_text, read_slow_log, settled, stream_slow_log
 
-MYSQL = """/usr/sbin/mysqld, Version: 8.4.0. started with:
-Tcp port: 3306  Unix socket: /tmp/mysql.sock
+MYSQL = """/opt/db/bin/mysqld, Version: 8.0.36 (Source). started with:
+Tcp port: 3399  Unix socket: /run/db.sock
 Time                 Id Command    Argument
-# Time: 2024-01-15T10:10:25.123456Z
-# User@Host: app[app] @ web-1 [10.0.0.1]  Id:    12
-# Query_time: 0.045123  Lock_time: 0.000004 Rows_sent: 20  Rows_examined: 3120 Thread_id: 12 Bytes_sent: 1432 Read_rnd_next: 0 Sort_scan_count: 1 Created_tmp_tables: 0
-use shop;
-SET timestamp=1705313425;
-SELECT *
-# a comment inside
-FROM orders;
-# Time: 2024-01-15T10:11:00.000000Z
-# User@Host: root[root] @  [172.18.0.5]  Id: 13
-# Query_time: 2.5  Lock_time: 0.0 Rows_sent: 1  Rows_examined: 5 Read_rnd_next: 9 Created_tmp_tables: 1 Created_tmp_disk_tables: 1
-SELECT 2;
-# Time: 2024-01-15T10:12:00Z
-# User@Host: root[root] @ localhost []  Id: 13
-# Query_time: 0.1  Lock_time: 0 Rows_sent: 0  Rows_examined: 0
+# Time: 2023-07-02T08:00:01.500000Z
+# User@Host: clerk[clerk] @ desk-4 [192.168.7.20]  Id:   801
+# Query_time: 0.251007  Lock_time: 0.000019 Rows_sent: 15  Rows_examined: 41000 Thread_id: 801 Bytes_sent: 977 Read_rnd_next: 0 Sort_scan_count: 2 Created_tmp_tables: 0
+use post;
+SET timestamp=1688284801;
+SELECT parcel_no
+# held ones only
+FROM parcels;
+# Time: 2023-07-02T08:00:09.000000Z
+# User@Host: batch[batch] @  [10.20.30.40]  Id: 802
+# Query_time: 7.75  Lock_time: 0.0 Rows_sent: 2  Rows_examined: 6 Read_rnd_next: 4 Created_tmp_tables: 3 Created_tmp_disk_tables: 1
+SELECT 40 + 2;
+# Time: 2023-07-02T08:01:00Z
+# User@Host: batch[batch] @ localhost []  Id: 802
+# Query_time: 0.3  Lock_time: 0 Rows_sent: 0  Rows_examined: 0
 # administrator command: Quit;
 """
-OTHERS = """# Time: 240115 10:23:45
-# User@Host: app[app] @ db [10.0.0.9]
-# Thread_id: 31  Schema: shop  QC_hit: No
-# Query_time: 1.000000  Lock_time: 0.0  Rows_sent: 0  Rows_examined: 200000  Rows_affected: 3
+OTHERS = """# Time: 230702  9:15:30
+# User@Host: sorter[sorter] @ hub-2 [10.9.8.7]
+# Thread_id: 77  Schema: post  QC_hit: No
+# Query_time: 1.250000  Lock_time: 0.0  Rows_sent: 0  Rows_examined: 5400  Rows_affected: 12
 # Full_scan: Yes  Filesort: Yes  Tmp_table: No  Stored_routine:
-update t set a=1;
-# User@Host: app[app] @ db [10.0.0.9]
-# Thread_id: 32  Schema:
-# Query_time: 0.5  Lock_time: 0.0
-use other;
-select 1;\r
+update parcels set state = 'late';
+# User@Host: sorter[sorter] @ hub-2 [10.9.8.7]
+# Thread_id: 78  Schema:
+# Query_time: 0.125  Lock_time: 0.0
+use archive;
+select 9;\r
 """
 
 
@@ -47,23 +47,23 @@ def test_microseconds(text, value):
 
 
 def test_times():
-    assert parse_log_time(" 2024-01-15T10:23:45.123456Z") == parse_log_time("2024-01-15T07:23:45.123456-03:00") == 1705314225
-    assert parse_log_time("240115 10:23:45") == 1705314225 and parse_log_time("240115  9:05:01") == 1705309501
-    assert parse_log_time("nonsense") is None and parse_log_time("2024-00-15T10:23:45Z") is None
+    assert parse_log_time(" 2023-07-02T08:00:01.5Z") == parse_log_time("2023-07-02T05:30:01.500000-02:30") == 1688284801
+    assert parse_log_time("230702 08:00:01") == 1688284801 and parse_log_time("230702  9:15:30") == 1688289330
+    assert parse_log_time("nonsense") is None and parse_log_time("2023-00-02T08:00:01Z") is None
 
 
 def test_mysql_dialect():
     p = parse_text(MYSQL)
     assert (p.seen, p.skipped) == (2, 1)
     first, second = p.events
-    assert first[1:] == ("SELECT *\n# a comment inside\nFROM orders", "shop", "app", "web-1", 45123, 4, 20, 3120, 0, 1432, 12, 1705313425, False, True, False, False)
-    assert second[2:6] == ("shop", "root", "172.18.0.5", 2_500_000) and second[13:] == (True, False, True, True)
+    assert first[1:] == ("SELECT parcel_no\n# held ones only\nFROM parcels", "post", "clerk", "desk-4", 251007, 19, 15, 41000, 0, 977, 801, 1688284801, False, True, False, False)
+    assert second[2:6] == ("post", "batch", "10.20.30.40", 7_750_000) and second[13:] == (True, False, True, True)
 
 
 def test_other_dialects():
     first, second = parse_text(OTHERS).events
-    assert first[2] == "shop" and first[9] == 3 and first[11] == 31 and first[13:] == (True, True, False, False) and first[12] == 1705314225
-    assert second[1:3] == ("select 1", "other") and second[11] == 32
+    assert first[2] == "post" and first[9] == 12 and first[11] == 77 and first[13:] == (True, True, False, False) and first[12] == 1688289330
+    assert second[1:3] == ("select 9", "archive") and second[11] == 78
 
 
 def big_log(events=900):
@@ -109,7 +109,7 @@ def test_source_is_split_invariant(spark, tmp_path):
 def test_several_files_bad_bytes_and_nothing(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "a.log").write_bytes(MYSQL.encode() + b"")
-    (tmp_path / "logs" / "b.log").write_bytes(OTHERS.encode().replace(b"select 1", b"select '\xff'"))
+    (tmp_path / "logs" / "b.log").write_bytes(OTHERS.encode().replace(b"select 9", b"select '\xff'"))
     (tmp_path / "logs" / "c.log").write_bytes(b"")
     rows = read_slow_log(spark, str(tmp_path / "logs")).orderBy("seq").collect()
     assert [r.sql for r in rows][-1] == "select '�'" and len(rows) == 4
@@ -124,3 +124,57 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     query.awaitTermination(120)
     batch = read_slow_log(spark, str(path)).groupBy("database").count()
     assert {tuple(r) for r in spark.table("log_stream").collect()} == {tuple(r) for r in batch.collect()}
+
+
+def micro_batches(spark, folder, steps, tmp_path, split_bytes=4000):
+    """Rows that a stream gives after each step, a function that changes the log."""
+    seen = []
+    frame = stream_slow_log(spark, str(folder), split_bytes)
+    for step in steps:
+        step()
+        batch = []
+        query = frame.writeStream.foreachBatch(lambda df, _, batch=batch: batch.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        seen.append(sorted((r.seq, r.sql, r.database) for r in batch))
+    return seen
+
+
+def test_a_half_written_event_waits(spark, tmp_path):
+    log = tmp_path / "slow.log"
+    text = big_log(120)
+    cuts_at = [text.index("SELECT 50\n") + 9, text.index("SELECT 50\n") + 14, text.index("# User@Host", len(text) // 2) + 5, text.rindex("SELECT") + 3, len(text) - 1, len(text)]
+    want = [(e[0], e[1], e[2]) for e in parse_text(text).events]
+    steps = [lambda n=n: log.write_text(text[:n]) for n in cuts_at]
+    seen = micro_batches(spark, log, steps, tmp_path)
+    assert [r for batch in seen for r in batch] == want
+    assert not any(r[1].startswith("SELECT 50") for r in seen[0] + seen[1]) and sum(len(b) > 0 for b in seen) >= 3
+
+
+def test_a_rotated_log_goes_on(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    text, other = big_log(60), "# Time: 2024-02-01T00:00:00Z\n# User@Host: z[z] @ h []  Id: 1\n# Query_time: 1 Lock_time: 0 Rows_sent: 0 Rows_examined: 0\nselect 'new';\n"
+    half = text.index("# Time", len(text) // 2)
+
+    def rotate():
+        (folder / "slow.log").write_text(text)
+        (folder / "slow.log").rename(folder / "slow.log.1")
+        (folder / "slow.log").write_text(other)
+
+    seen = micro_batches(spark, folder, [lambda: (folder / "slow.log").write_text(text[:half]), rotate], tmp_path)
+    whole = [e[1] for e in parse_text(text).events]
+    assert [r[1] for r in seen[0]] + sorted(r[1] for r in seen[1] if "new" not in r[1]) == [r[1] for r in seen[0]] + sorted(whole[len(seen[0]) :])
+    assert [r[1] for r in seen[1] if "new" in r[1]] == ["select 'new'"]
+
+
+@given(st.integers(0, 4000))
+@settings(max_examples=150, deadline=None)
+def test_settled_loses_nothing(size):
+    import io
+
+    text = (MYSQL + OTHERS + big_log(8)).encode()
+    size = min(size, len(text))
+    at = settled(io.BytesIO(text), size)
+    assert 0 <= at <= size
+    events = lambda a, b: [e[:2] for p in parsed_parts(text[:b].decode(), [a]) for e in p.events] if b > a else []
+    assert events(0, at) + events(at, len(text)) == events(0, len(text))

@@ -2,14 +2,19 @@
 
 ``format("slowlog")`` cuts each file into byte ranges; a task owns the events that start in its range and reads on to
 the end of the last one.  Tasks do not know the database in force at their start, so they leave it null and report
-the last ``use`` they saw; ``read_slow_log`` fills the gaps from those reports, one row per range, by a running
-``last`` over the ranges in file order.
+the last ``use`` they saw; ``read_slow_log`` parses once, into the shared folder, and fills the gaps from those reports,
+one row per range, by a running ``last`` over the ranges in file order.
+
+A stream ends each batch where the last event of a file is known to be whole, so a half-written event waits for its
+rest.  Its offset holds, for each file, that place, the file's size, a checksum of its first bytes and the database in
+force there: a file whose size falls or whose first bytes change is read anew, and one that was renamed goes on.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +27,7 @@ from .scratch import stage
 
 RAW = f"kind string, split long, {EVENT_COLUMNS}, lines long, events long, skipped long, last_use string"
 SPLIT_BYTES = 64 << 20
+BROADCAST_RANGES = 1 << 16  # one row of a number and a name per range: a few MB
 _BLOCK = 1 << 20
 
 
@@ -51,8 +57,10 @@ def _files(uri: str) -> list[tuple[str, int]]:
 
 
 class _Range(InputPartition):
-    def __init__(self, uri: str, path: str, start: int, end: int, split: int):
-        self.uri, self.path, self.start, self.end, self.split = uri, path, start, end, split
+    """Bytes of a file.  A stream's range also has the bytes of the whole batch and the database in force where it begins."""
+
+    def __init__(self, uri: str, path: str, start: int, end: int, split: int, batch: tuple[int, int] | None = None, use: str | None = None):
+        self.uri, self.path, self.start, self.end, self.split, self.batch, self.use = uri, path, start, end, split, batch, use
 
 
 def _lines_from(stream, at: int):
@@ -98,28 +106,72 @@ def cut_at(stream, size: int, least: int) -> int:
     return size if timed is None else timed
 
 
-def _use_before(stream, at: int) -> str | None:
-    """The database of the last line before ``at`` that reads ``use name;``."""
+def _use_before(stream, at: int, floor: int = 0) -> str | None:
+    """The database of the last line in ``[floor, at)`` that reads ``use name;``; ``floor`` begins a line."""
     tail = b""
-    while at > 0:
-        step = min(at, _BLOCK)
+    while at > floor:
+        step = min(at - floor, _BLOCK)
         stream.seek(at - step)
         data, at = stream.read(step) + tail, at - step
         lines = data.split(b"\n")
-        for line in reversed(lines if at == 0 else lines[1:]):
+        for line in reversed(lines if at == floor else lines[1:]):
             text = line.strip()
             if text[:4].lower() == b"use " and text.endswith(b";"):
                 return text[4:-1].strip().strip(b"`").decode("utf-8", "replace")
-        tail = lines[0] if at else b""
+        tail = lines[0] if at > floor else b""
     return None
 
 
+def _last_start(stream, size: int) -> int:
+    """Where the last event that begins before ``size`` begins; 0 if none does."""
+    tail, at = b"", size
+    while True:
+        step = min(at, _BLOCK)
+        stream.seek(at - step)
+        tail, at = stream.read(step) + tail, at - step
+        text, base = (tail, at) if at else (b"\n" + tail, -1)
+        if (found := text.rfind(b"\n# User@Host:")) >= 0:
+            before = text.rfind(b"\n", 0, found)
+            if before >= 0 or at == 0:
+                timed = before >= 0 and text.startswith(b"# Time:", before + 1)
+                return base + (before if timed else found) + 1
+        if at == 0:
+            return max(0, base + text.rfind(b"\n# Time:") + 1)
+
+
+def settled(stream, size: int) -> int:
+    """The largest place up to ``size`` before which every event is whole: ``size``, or where an unfinished event begins.
+
+    The last event is whole if its statement has begun and its last line is complete and ends in a semicolon, or is an
+    administrator command.
+    """
+    start = _last_start(stream, size)
+    stream.seek(max(0, size - 1))
+    if size and stream.read(1) != b"\n":
+        return start
+    parser, last = Parser(None), ""
+    for line, at in _lines_from(stream, start):
+        if at >= size:
+            break
+        parser.feed(line, at)
+        last = line.strip() or last
+    pending = parser.state == "header" or parser.state == "body" and not (parser.event["admin"] or last.endswith(";"))
+    return start if pending else size
+
+
+def _head(stream, size: int) -> list[int]:
+    """How many first bytes tell a file from others, and their checksum."""
+    stream.seek(0)
+    data = stream.read(min(size, 256))
+    return [len(data), zlib.crc32(data)]
+
+
 def _clean(text):
     """Text that Arrow accepts: bytes that are no UTF-8 become U+FFFD."""
     return text if text is None or text.isascii() else text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
-def _batches(split: _Range, look_back: bool):
+def _batches(split: _Range):
     import pyarrow as pa
 
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
@@ -131,8 +183,12 @@ def _batches(split: _Range, look_back: bool):
     system, _ = _filesystem(split.uri)
     with system.open_input_file(split.path) as stream:
         size = stream.size()
-        start, end = cut_at(stream, size, split.start), cut_at(stream, size, split.end)
-        parser = Parser(_use_before(stream, start) if look_back else None)
+        start, end = (cut_at(stream, size, at) for at in (split.start, split.end))
+        parser = Parser()
+        if split.batch:  # which begins and ends at an event's start
+            low, high = split.batch
+            start, end = (at if at in split.batch else min(high, cut) for at, cut in ((split.start, start), (split.end, end)))
+            parser.database = _use_before(stream, start, low) or split.use
 
         def events():
             rows, parser.events = parser.events, []
@@ -166,33 +222,56 @@ class _Reader(DataSourceReader):
         return out
 
     def read(self, partition):
-        return _batches(partition, look_back=False)
+        return _batches(partition)
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Every batch takes each file from where the last one ended to its present end; a smaller file starts anew."""
+    """Every batch takes each file from where the last one ended to where its events are whole now."""
 
     def __init__(self, uri: str, split_bytes: int):
         self.uri, self.split_bytes = uri, split_bytes
+        self.known: dict[str, dict] = {}
 
     def initialOffset(self):
         return {}
 
     def latestOffset(self):
-        return {path: size for path, size in _files(self.uri)}
+        system, _ = _filesystem(self.uri)
+        found = {}
+        for path, size in _files(self.uri):
+            with system.open_input_file(path) as stream:
+                end, head, before = settled(stream, size), _head(stream, size), self.known.get(path)
+                floor, use = (before["end"], before["use"]) if before and self._same(stream, before, size) and before["end"] <= end else (0, None)
+                found[path] = {"end": end, "size": size, "head": head, "use": _use_before(stream, end, floor) or use}
+        self.known = found
+        return found
+
+    @staticmethod
+    def _same(stream, before: dict, size: int) -> bool:
+        """Whether a file is the one that an offset speaks of, perhaps longer now."""
+        n, crc = before["head"]
+        stream.seek(0)
+        return size >= before["size"] and zlib.crc32(stream.read(n)) == crc
 
     def partitions(self, start, end):
+        system, _ = _filesystem(self.uri)
         out = []
-        for number, (path, size) in enumerate(sorted(end.items())):
-            low = start.get(path, 0)
-            low = 0 if low > size else low
-            count = max(1, -(-(size - low) // self.split_bytes))
-            if size > low:
-                out += [_Range(self.uri, path, low + (size - low) * k // count, low + (size - low) * (k + 1) // count, (number << 32) + k) for k in range(count)]
+        for number, (path, now) in enumerate(sorted(end.items())):
+            before, high = None, now["end"]
+            with system.open_input_file(path) as stream:
+                for name in (path, *(p for p in sorted(start) if p != path)):
+                    renamed = name != path and (name not in end or end[name]["head"] != start[name]["head"])
+                    if name in start and (name == path or renamed) and start[name]["head"][0] and self._same(stream, start[name], now["size"]):
+                        before = start[name]
+                        break
+            low, use = (before["end"], before["use"]) if before else (0, None)
+            count = max(1, -(-(high - low) // self.split_bytes))
+            if high > low:
+                out += [_Range(self.uri, path, low + (high - low) * k // count, low + (high - low) * (k + 1) // count, (number << 32) + k, (low, high), use) for k in range(count)]
         return out
 
     def read(self, partition):
-        return _batches(partition, look_back=True)
+        return _batches(partition)
 
     def commit(self, end):
         pass
@@ -237,6 +316,8 @@ def resolved_events(raw: DataFrame, database: str = "") -> DataFrame:
     """Events with the database in force; ``database`` is the one before the first ``use``."""
     before = Window.partitionBy(F.shiftright("split", 32)).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     carried = raw.where("kind = 'end'").select("split", F.coalesce(F.last("last_use", ignorenulls=True).over(before), F.lit(database)).alias("carried"))
+    if raw.where("kind = 'end'").count() <= BROADCAST_RANGES:
+        carried = F.broadcast(carried)
     events = raw.where("kind = 'event'").join(carried, "split", "left")
     names = [c.split()[0] for c in EVENT_COLUMNS.split(", ")]
     filled = {"database": F.coalesce("database", "carried", F.lit(database)), "seq": F.shiftleft(F.shiftright("split", 32), 44) + F.col("seq")}
@@ -252,10 +333,9 @@ def counters(raw: DataFrame) -> DataFrame:
 def read_slow_log(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, database: str = "") -> DataFrame:
     """Events of a log with the columns of ``EVENT_COLUMNS``; ``seq`` orders events as the files do.
 
-    An empty log gives no events; a missing one raises.  Each range is parsed twice, for its events and for the
-    database it hands on; ``scan_slow_log`` parses once where several results are wanted.
+    An empty log gives no events; a missing one raises.  The log is parsed once, when this is called.
     """
-    return resolved_events(_raw(spark, path, split_bytes), database)
+    return resolved_events(scan_slow_log(spark, path, split_bytes), database)
 
 
 def log_counters(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -272,7 +352,7 @@ def read_log_text(spark: SparkSession, text: str, database: str = "") -> DataFra
 
 
 def stream_slow_log(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Events of a growing log as a stream; a range's database before its first ``use`` is looked up backwards."""
+    """Events of a growing log as a stream; a half-written event comes with the batch in which it is whole."""
     register(spark)
     raw = spark.readStream.format("slowlog").option("splitBytes", str(split_bytes)).load(path).where("kind = 'event'")
     return raw.select(*(c.split()[0] for c in EVENT_COLUMNS.split(", "))).withColumn("database", F.coalesce("database", F.lit("")))
