@@ -14,10 +14,12 @@ from ..advice.indexes import suggest
 from ..shipping import ship
 from ..sql.parser import try_parse
 from ..sql.tree import dump
+from ..sql.writer import to_sql
 
 FINDINGS = "array<struct<ordinal:int,rule_id:string,rule_name:string,severity:string,title:string,detail:string,suggestion:string>>"
 CANDIDATES = "array<struct<ordinal:int,table_name:string,columns:array<string>,ddl:string>>"
 PLAN_ROWS = "array<struct<ordinal:int,table_name:string,access_type:string,key_name:string,rows:long,filtered:double,filesort:boolean,temporary:boolean>>"
+PREDICATES = "array<struct<ordinal:int,kind:string,column_name:string,negated:boolean,under_or:boolean,wrapper:string>>"
 _STATS = ("rows_examined", "rows_sent", "rows_affected", "query_time_us")
 _RATIOS = ("full_scan", "filesort", "tmp_disk")
 
@@ -94,6 +96,61 @@ def with_trees(statements: DataFrame, sql: str = "sql") -> DataFrame:
     return statements.withColumn("_tree", compute(F.col(sql))).select(*statements.columns, "_tree.tree", "_tree.error")
 
 
+def with_canonical(statements: DataFrame, sql: str = "sql") -> DataFrame:
+    """The frame with ``canonical``, the statement as the writer spells it (null if it does not parse), and ``error``."""
+    ship(statements.sparkSession)
+
+    @F.pandas_udf("canonical string, error string")
+    def compute(texts):
+        import pandas as pd
+
+        found = [try_parse(t or "") for t in texts]
+        return pd.DataFrame({"canonical": [None if n is None else _valid(to_sql(n)) for n, _ in found], "error": [_valid(e) for _, e in found]})
+
+    compute.__annotations__ = {}
+    return statements.withColumn("_sql", compute(F.col(sql))).select(*statements.columns, "_sql.canonical", "_sql.error")
+
+
+def predicates(statements: DataFrame, catalog: Catalog | None = None, sql: str = "sql") -> DataFrame:
+    """One row per condition that the facts of a statement list, in their order."""
+    ship(statements.sparkSession)
+
+    @F.pandas_udf(PREDICATES)
+    def compute(texts):
+        import pandas as pd
+
+        def of(text):
+            statement, _ = try_parse(text or "")
+            found = collect_facts(statement, catalog).predicates if statement is not None else []
+            return [{"ordinal": k, "kind": p.kind, "column_name": _valid(str(p.column)), "negated": bool(p.negated), "under_or": bool(p.under_or), "wrapper": _valid(p.wrapper or "")} for k, p in enumerate(found)]
+
+        return pd.Series([of(t) for t in texts])
+
+    compute.__annotations__ = {}
+    return statements.select(*statements.columns, F.explode(compute(F.col(sql))).alias("p")).select(*[c for c in statements.columns if c != sql], "p.*")
+
+
+def with_tables(classes: DataFrame, sql: str = "sql") -> DataFrame:
+    """The frame with ``tables``: the names of the base tables of a statement, each once, in order of appearance.
+
+    Like ``with_findings`` the function stays above a top-k.
+    """
+    ship(classes.sparkSession)
+
+    @F.pandas_udf("array<string>")
+    def compute(texts):
+        import pandas as pd
+
+        def of(text):
+            statement, _ = try_parse(text or "")
+            return list(dict.fromkeys(_valid(t.name) for t in collect_facts(statement, None).base_tables)) if statement is not None else []
+
+        return pd.Series([of(t) for t in texts])
+
+    compute.__annotations__ = {}
+    return classes.withColumn("tables", compute.asNondeterministic()(F.col(sql)))
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     """The rules, in the order they run."""
     return spark.createDataFrame([(k, r.id, r.name, r.severity, r.summary) for k, r in enumerate(RULES)], "ordinal int, rule_id string, rule_name string, severity string, summary string")

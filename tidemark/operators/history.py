@@ -45,6 +45,17 @@ def changes(table: DataFrame, policy: ChangePolicy = ChangePolicy()) -> DataFram
     return both.select("*", ratio.alias("ratio"), direction.alias("direction")).where(F.col("direction").isNotNull() & (F.abs(F.col("avg_time_us") - F.col("previous_avg_us")) >= policy.least_delta_us))
 
 
+def ordered_changes(found: DataFrame) -> DataFrame:
+    """Changes with ``place``: the worst regression first, the best improvement first, ties by run and class."""
+    strength = F.when(F.col("direction") == "regression", -F.col("ratio")).otherwise(F.col("ratio"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("direction").orderBy(strength, "run_id", "class_id")))
+
+
+def longest_run(runs: DataFrame, column: str = "events") -> DataFrame:
+    """The largest value of a column of the runs, 0 without runs."""
+    return runs.agg(F.coalesce(F.max(column), F.lit(0)).alias(f"longest_{column}"))
+
+
 def history_points(table: DataFrame, class_id: str, newest: int) -> DataFrame:
     """The newest snapshots of one class, oldest first by ``run_id``."""
     return table.where(F.col("class_id") == class_id).orderBy(F.col("run_id").desc()).limit(newest).orderBy("run_id")

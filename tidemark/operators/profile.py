@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.histogram import DECADES, bucket_of, decade_of, lower_of, width_of
+from ..sources.scratch import stage
 
 METRICS = ("query_time_us", "lock_time_us", "rows_sent", "rows_examined", "rows_affected")
 FLAGS = ("full_scan", "filesort", "tmp_table", "tmp_disk")
@@ -82,11 +83,28 @@ def latency_decades(events: DataFrame, value: str = "query_time_us") -> DataFram
     return events.groupBy("class_id").agg(*(F.count_if(decade == k).alias(f"d{k}") for k in range(DECADES)))
 
 
+FEW_CLASSES = 1 << 18  # classes whose worst events are looked up through a broadcast of two numbers each
+
+
+def slowness() -> Column:
+    """A number that orders events by time, and equally slow ones from the last to the first in the log.
+
+    A decimal, unlike a struct, keeps the aggregate below on the hash path, so no task sorts its events by class.
+    """
+    whole = lambda n: F.lit(str(n)).cast("decimal(19,0)")
+    return F.col("query_time_us").cast("decimal(19,0)") * whole(1 << 63) + (whole((1 << 63) - 1) - F.col("seq").cast("decimal(19,0)"))
+
+
 def worst_sample(events: DataFrame, *columns: str) -> DataFrame:
-    """The slowest event of each class; of equally slow ones the first in the log."""
+    """The slowest event of each class; of equally slow ones the first in the log.
+
+    The aggregate sees two numbers of an event; the other columns are fetched for the few events that it names.
+    """
     keep = columns or tuple(c for c in ("sql", "database", "user", "host", "query_time_us", "rows_sent", "rows_examined", "ts", "seq") if c in events.columns)
-    best = F.max_by(F.struct(*keep), F.struct("query_time_us", -F.col("seq"))).alias("worst")
-    return events.groupBy("class_id").agg(best).select("class_id", *(F.col(f"worst.{c}").alias(f"worst_{c}") for c in keep))
+    worst = stage(events.groupBy("class_id").agg(F.max(slowness()).alias("slowness")), "worst")
+    named = F.broadcast(worst) if worst.count() <= FEW_CLASSES else worst
+    found = events.withColumn("slowness", slowness()).join(named, ["class_id", "slowness"])
+    return found.select("class_id", *(F.col(c).alias(f"worst_{c}") for c in keep))
 
 
 def tally(events: DataFrame, column: str) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions.statements import with_fingerprints
 from ..sources.scratch import stage
 from . import profile as P
 from . import ranking as R
-from .advise import with_findings
+from .advise import with_findings, with_tables
 
 
 WORST = ("sql", "database", "user", "host", "query_time_us", "rows_sent", "rows_examined", "ts", "seq")
@@ -62,7 +62,7 @@ def cells(events: DataFrame) -> DataFrame:
     sums = [F.sum(m).alias(f"{m}_sum") for m in P.METRICS] + [F.min(m).alias(f"{m}_min") for m in P.METRICS] + [F.max(m).alias(f"{m}_max") for m in P.METRICS]
     flags = [F.count_if(f).alias(f"{f}_count") for f in P.FLAGS]
     seen = F.nullif("ts", F.lit(0))
-    worst = F.max_by(F.struct(*WORST), F.struct("query_time_us", -F.col("seq"))).alias("worst")
+    worst = F.max(P.slowness()).alias("slowness")
     keys = ["class_id", bucket_of(F.col("query_time_us")).alias("bucket"), "database", "user"]
     table = events.groupBy(*keys).agg(n.alias("calls"), *sums, *flags, F.sum("bytes_sent").alias("bytes_sent"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"), worst, F.min("fingerprint").alias("fingerprint"), F.min("kind").alias("kind"))
     return stage(table, "cells")
@@ -80,10 +80,8 @@ def _merged() -> list:
 
 def class_table(table: DataFrame) -> DataFrame:
     """One row per class with everything a report shows, from ``cells``."""
-    worst = F.max_by("worst", F.struct("worst.query_time_us", -F.col("worst.seq"))).alias("worst")
     decades = [F.coalesce(F.sum(F.when(decade_of(F.col("bucket")) == k, F.col("calls"))), F.lit(0)).alias(f"d{k}") for k in range(DECADES)]
-    summary = table.groupBy("class_id").agg(*_merged(), *decades, F.min("fingerprint").alias("fingerprint"), F.min("kind").alias("kind"), worst)
-    summary = summary.select("*", *(F.col(f"worst.{c}").alias(f"worst_{c}") for c in WORST)).drop("worst")
+    summary = table.groupBy("class_id").agg(*_merged(), *decades, F.min("fingerprint").alias("fingerprint"), F.min("kind").alias("kind"), F.max("slowness").alias("slowness"))
     fine = table.groupBy("class_id", "bucket").agg(F.sum("calls").alias("n"), F.min("query_time_us_min").alias("least"), F.max("query_time_us_max").alias("most"))
     out = summary.join(P.percentiles_of(fine), "class_id")
     for column in ("database", "user"):
@@ -92,9 +90,16 @@ def class_table(table: DataFrame) -> DataFrame:
     return out
 
 
-def ranked_classes(table: DataFrame, catalog: Catalog | None = None, options: Options = Options()) -> DataFrame:
-    """The report's classes as a DataFrame, from ``cells``: share of the whole, rank, findings of the kept ones."""
+def ranked_classes(table: DataFrame, events: DataFrame, catalog: Catalog | None = None, options: Options = Options()) -> DataFrame:
+    """The report's classes as a DataFrame, from ``cells``: share of the whole, rank, findings of the kept ones.
+
+    ``events`` are those that ``table`` merges; the slowest one of each kept class is fetched from them.
+    """
     kept = R.rank_classes(R.time_share(class_table(table)), options.sort, options.top)
+    named = kept.select("slowness")
+    slow = events.withColumn("slowness", P.slowness()).join(F.broadcast(named) if options.top else named, "slowness")
+    kept = kept.join(slow.select("slowness", *(F.col(c).alias(f"worst_{c}") for c in WORST)), "slowness").drop("slowness")
+    kept = with_tables(kept, "worst_sql")
     if options.advise:
         return with_findings(kept, catalog, Engine(options.disabled_rules), "worst_sql", options.min_severity)
     return kept.withColumn("findings", F.array().cast("array<struct<ordinal:int,rule_id:string,rule_name:string,severity:string,title:string,detail:string,suggestion:string>>"))
@@ -106,7 +111,7 @@ def analyze(events: DataFrame, catalog: Catalog | None = None, options: Options
     if options.database:
         events = P.filter_database(events, options.database)
     table = cells(with_fingerprints(events))
-    classes = sorted(ranked_classes(table, catalog, options).collect(), key=lambda c: c["rank"])
+    classes = sorted(ranked_classes(table, events, catalog, options).collect(), key=lambda c: c["rank"])
     totals = table.agg(*_merged()).first().asDict()
     facts = {"sort": options.sort, "class_count": classes[0].class_count if classes else 0, **(run or {})}
     if options.database:
@@ -123,7 +128,7 @@ def history_rows(report: Report, spark) -> tuple[DataFrame, DataFrame, DataFrame
     snapshots, findings = [], []
     for c in report.classes:
         snapshots.append({
-            "run_id": 0, "class_id": c.class_id, "rank": c["rank"], "label": abbreviate(c.fingerprint, 255), "kind": c.kind, "fingerprint": c.fingerprint, "calls": c.calls, "time_share": c.time_share, "total_time_us": c.query_time_us_sum,
+            "run_id": 0, "class_id": c.class_id, "rank": c["rank"], "label": abbreviate(label_of(c.kind, c.tables, c.fingerprint), 255), "kind": c.kind, "fingerprint": c.fingerprint, "calls": c.calls, "time_share": c.time_share, "total_time_us": c.query_time_us_sum,
             "avg_time_us": c.query_time_us_mean, "p50_us": c.p50_us, "p95_us": c.p95_us, "p99_us": c.p99_us, "max_us": c.query_time_us_max, "rows_examined": c.rows_examined_sum, "rows_sent": c.rows_sent_sum, "full_scan_ratio": c.full_scan_ratio,
             "filesort_ratio": c.filesort_ratio, "tmp_disk_ratio": c.tmp_disk_ratio, "sample_sql": c.worst_sql, "sample_database": c.worst_database,
         })

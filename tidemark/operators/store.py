@@ -1,6 +1,8 @@
 """History of runs as Parquet tables partitioned by run, and the same interface in memory.
 
-A run is one partition of each table, written once; what an upsert would maintain is derived from the snapshots.
+A run is one partition of each table, written once; what an upsert would maintain is derived from the snapshots.  A
+writer claims its run's number by creating a file, which only one of several writers can do, and adds the row in ``runs``
+last; rows of the other tables show only with that row, so a run is there as a whole or not at all.
 """
 
 from __future__ import annotations
@@ -95,12 +97,20 @@ class ParquetHistory(_Reads):
         return system.exists(where)
 
     def table(self, name: str) -> DataFrame:
-        table = self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}")
-        return table.select(*(f.split()[0] for f in TABLES[name].split(", ")))
+        table = self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}").select(*(f.split()[0] for f in TABLES[name].split(", ")))
+        return table if name == "runs" else table.join(self.table("runs").select("run_id"), "run_id", "left_semi")
+
+    def _claim(self) -> int:
+        """A run number that no other writer has."""
+        number = self.latest_run() + 1
+        system, _ = self._path(self.folder)
+        while not system.createNewFile(self._path(f"{self.folder}/_claims/{number}")[1]):
+            number += 1
+        return number
 
     def save(self, run: DataFrame, snapshots: DataFrame, findings: DataFrame) -> int:
         """Appends one run and returns its id; the row in ``runs`` is written last and makes the run visible."""
-        run_id = self.latest_run() + 1
+        run_id = self._claim()
         for name, rows in (("findings", findings), ("snapshots", snapshots), ("runs", run)):
             shaped(rows.withColumn("run_id", F.lit(run_id)), TABLES[name]).write.mode("append").partitionBy("run_id").parquet(f"{self.folder}/{name}")
         return run_id
@@ -113,7 +123,7 @@ class ParquetHistory(_Reads):
 
 
 class MemoryHistory(_Reads):
-    """The same, as DataFrames of collected rows."""
+    """The same, as DataFrames of collected rows: for reports, which hold the classes that a person reads."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.rows = spark, {name: [] for name in TABLES}

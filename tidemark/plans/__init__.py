@@ -1,6 +1,7 @@
 """Registered queries of the log-analytics operators, with SQL for the same results."""
 
-from . import event_queries, text_queries
+from . import event_queries, history_queries, log_queries, statement_queries, text_queries
 
-QUERIES = {**event_queries.QUERIES, **text_queries.QUERIES}
-ORACLE = {**event_queries.ORACLE, **text_queries.ORACLE}
+_MODULES = (event_queries, history_queries, log_queries, statement_queries, text_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

@@ -10,7 +10,7 @@ from ..functions import columns as C
 from ..functions.statements import fnv1a_64, with_fingerprints
 from ..operators import advise as A
 from ..operators.report import Options, cells, ranked_classes
-from ..sources.generate import generate_events, log_text, write_log
+from ..sources.generate import ADMIN_EVERY, SCENARIOS, generate_events, log_text, write_log
 from ..sources.scratch import scratch_folder
 from ..sources.slowlog import log_counters, read_slow_log, resolved_events, scan_slow_log, stream_slow_log
 
@@ -168,19 +168,57 @@ def explain_flatten(spark, sf_dir):
     return A.explain_rows(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", plan.alias("plan")))
 
 
-@_query()
+def _generated(sf_dir: str, spark: SparkSession) -> int:
+    """How many events to generate at a scale: one for each order."""
+    return _orders(spark, sf_dir).count()
+
+
+@_query("SELECT count(*) AS events, true AS same_again, true AS weights_kept, true AS medians_kept FROM orders")
 def generate_log(spark, sf_dir):
-    return generate_events(spark, 5_000, 42).groupBy("scenario").agg(F.count(F.lit(1)).alias("events"), F.sum("query_time_us").alias("query_time_us"))
+    """Generated events: their number, and whether seed, weights and medians of the scenarios are kept."""
+    n = _generated(sf_dir, spark)
+    sums = (F.count(F.lit(1)).alias("events"), F.sum(F.xxhash64("sql", "query_time_us", "ts").cast("decimal(20,0)")).alias("sum"), F.median("query_time_us").alias("median"))
+    first, again = (generate_events(spark, n, 42, parts).where("not admin").groupBy("scenario").agg(*sums) for parts in (3, 8))
+    whole = sum(s[0] for s in SCENARIOS)
+    wanted = spark.createDataFrame([(k, s[0] / whole, s[1] * 1000) for k, s in enumerate(SCENARIOS)], "scenario int, weight double, middle double")
+    both = first.join(again.select("scenario", F.col("sum").alias("other")), "scenario").join(wanted, "scenario")
+    spread = 5 * F.sqrt(F.col("weight") * n) + 5 + F.col("weight") * n / ADMIN_EVERY * 2
+    close = (F.abs(F.col("median") / F.col("middle") - 1) < 0.1) | (F.col("events") < 300)
+    admin = generate_events(spark, n, 42).where("admin").count()
+    return both.agg(
+        (F.sum("events") + admin).alias("events"),
+        F.bool_and(F.col("sum") == F.col("other")).alias("same_again"),
+        F.bool_and(F.abs(F.col("events") - F.col("weight") * n) < spread).alias("weights_kept"),
+        F.bool_and(close).alias("medians_kept"),
+    )
+
+
+def _analysed(spark: SparkSession, path: str, split_bytes: int, top: int) -> DataFrame:
+    events = resolved_events(scan_slow_log(spark, path, split_bytes))
+    return ranked_classes(cells(with_fingerprints(events)), events, options=Options(top=top))
+
+
+@_query("""WITH e AS (
+               SELECT o_orderkey AS k, round(o_totalprice)::BIGINT AS t, 'SELECT * FROM orders WHERE o_orderkey = ' || o_orderkey || ' AND o_orderstatus IN (''' || o_orderstatus || ''', ''x'')' AS sql
+               FROM orders WHERE o_orderkey % 97 <> 5)
+           SELECT 1 AS rank, count(*) AS calls, sum(t)::BIGINT AS total, 1.0::DOUBLE AS share, max(t) AS worst, arg_max(sql, t::HUGEINT * 1000000000 - k) AS worst_sql, 'orders' AS tables, 'ST001,ST014,ST013' AS rules,
+                  'ALTER TABLE orders ADD INDEX idx_orders_o_orderkey_o_orderstatus (o_orderkey, o_orderstatus);' AS suggestion FROM e""")
+def analyze_orders(spark, sf_dir):
+    """From text to advice over the log of all orders: the class, its slowest statement, tables, findings and index."""
+    c = _analysed(spark, _order_log(spark, sf_dir), 1 << 18, 5)
+    rules = F.array_join(F.transform("findings", lambda f: f["rule_id"]), ",")
+    return c.select(
+        "rank", "calls", F.col("query_time_us_sum").alias("total"), F.col("time_share").alias("share"), F.col("worst_query_time_us").alias("worst"), "worst_sql", F.array_join("tables", ",").alias("tables"),
+        rules.alias("rules"), F.get("findings", F.lit(0))["suggestion"].alias("suggestion"),
+    )
 
 
 @_query()
 def analyze_log(spark, sf_dir):
     """From text to advice: a generated log, its costliest classes and their findings."""
     path = scratch_folder(spark, "generated")
-    write_log(spark, path, 5_000, 42, files=4)
-    table = cells(with_fingerprints(resolved_events(scan_slow_log(spark, path, split_bytes=1 << 19))))
-    ranked = ranked_classes(table, options=Options(top=20))
-    return ranked.select("class_id", "rank", F.explode("findings").alias("f")).select("class_id", "rank", "f.*")
+    write_log(spark, path, _generated(sf_dir, spark), 42, files=4)
+    return _analysed(spark, path, 1 << 22, 20).select("class_id", "rank", F.explode("findings").alias("f")).select("class_id", "rank", "f.*")
 
 
 @_query(r"""SELECT o_orderkey, lower(o_orderpriority) AS lowered, upper(o_orderpriority) AS raised, trim(' ' || o_orderstatus || chr(9), ' ' || chr(9)) AS trimmed,
