@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.sources.records import cuts, parse_log_time, parse_microseconds, parse_text, parsed_parts
+from tidemark.sources.records import Parser, cuts, parse_log_time, parse_microseconds, parse_text, parsed_parts
 from tidemark.sources.slowlog import log_counters, read_log_text, read_slow_log, settled, stream_slow_log
 
 MYSQL = """/opt/db/bin/mysqld, Version: 8.0.36 (Source). started with:
@@ -178,3 +178,35 @@ def test_settled_loses_nothing(size):
     assert 0 <= at <= size
     events = lambda a, b: [e[:2] for p in parsed_parts(text[:b].decode(), [a]) for e in p.events] if b > a else []
     assert events(0, at) + events(at, len(text)) == events(0, len(text))
+
+
+@given(st.lists(st.sampled_from(["# Time: 2024-01-15T10:23:45.5Z\n", "# User@Host: a[a] @ b []  Id:  7\n", "# User@Host: a-b[a-b] @ h.x [1.2.3.4]  Id: 8\n", "# Query_time: 1.000002  Lock_time: 0.000001 Rows_sent: 3  Rows_examined: 4\n",
+    "# Query_time: 1.000002  Lock_time: 0.000001 Rows_sent: 3  Rows_examined: 4 Thread_id: 9 Bytes_sent: 72 Read_rnd_next: 5 Sort_scan_count: 0 Created_tmp_disk_tables: 1\n", "SET timestamp=5;\n", "use x;\n", "select 1;\n", "select 'é\n", "  from t;\n", ";\n", "set a = 1;\n",
+    "select ';';\r\n", "x started with:\n", "Tcp port: 5\n", "# comment;\n", "# administrator command: Quit;\n", "\n"]), max_size=60).map("".join), st.booleans())
+@settings(max_examples=400, deadline=None)
+def test_events_taken_whole_are_those_read_line_by_line(text, common):
+    header = "# Time: 2024-01-15T10:23:45.5Z\n# User@Host: a[a] @ b []  Id:  7\n# Query_time: 1.000002  Lock_time: 0.000001 Rows_sent: 3  Rows_examined: 4\nSET timestamp=6;\nselect 2\nfrom u;\n"
+    text = header + text + header * 2 if common else text
+    data, slow, fast = text.encode(), Parser(""), Parser("")
+    at = 0
+    for line in data.split(b"\n")[: data.count(b"\n")]:
+        slow.feed(line.decode(), at)
+        at += len(line) + 1
+    fast.feed_bytes(data, 0, len(data))
+    for p in (slow, fast):
+        p.finish()
+    assert (fast.events, fast.lines, fast.seen, fast.skipped, fast.database) == (slow.events, slow.lines, slow.seen, slow.skipped, slow.database)
+
+
+def test_the_generated_log_is_taken_whole(spark, tmp_path, monkeypatch):
+    from tidemark.sources import generate, records
+
+    generate.write_log(spark, f"{tmp_path}/log", 400, 7)
+    data = b"".join(p.read_bytes() for p in (tmp_path / "log").glob("part*"))
+    taken = []
+    real = records.Parser._common
+    monkeypatch.setattr(records.Parser, "_common", lambda self, *a: taken.append(real(self, *a)) or taken[-1])
+    parser = Parser("")
+    parser.feed_bytes(data, 0, len(data))
+    parser.finish()
+    assert parser.events == parse_text(data.decode()).events and sum(taken) > 380

@@ -14,7 +14,7 @@ from tidemark.functions.histogram import bucket_of, decade_of, lower_of, width_o
 from tidemark.operators import profile as P
 from tidemark.operators.advise import flatten_plan, with_findings
 from tidemark.operators.history import ChangePolicy, changes
-from tidemark.operators.render import cell, render, sparkline
+from tidemark.operators.render import cell, render, sparkline, wrapped
 from tidemark.operators.report import Options, history_rows
 from tidemark.operators.store import MemoryHistory, ParquetHistory
 from tidemark.sources.generate import SCENARIOS, generate_events, write_log
@@ -86,7 +86,12 @@ def test_generated_log_to_report_and_history(spark, tmp_path):
     assert report.totals["calls"] == plain.count() and report.totals["query_time_us_sum"] == plain.agg(F.sum("query_time_us")).first()[0]
     assert len(report.classes) == 6 and [c["rank"] for c in report.classes] == list(range(1, 7)) and 12 <= report.run["class_count"] <= len(SCENARIOS)
     assert report.run["skipped"] + report.totals["calls"] == 1500
-    assert json.loads(render(report, "json"))["severities"] == report.severities
+    assert json.loads(render(report, "json"))["findings"] == report.severities
+    told = json.loads(render(report, "json"))
+    assert list(told) == ["tool", "run", "totals", "sort", "class_count", "findings", "classes"] and told["totals"]["events"] == plain.count()
+    first = told["classes"][0]
+    assert list(first)[:8] == ["rank", "id", "kind", "fingerprint", "label", "tables", "calls", "time_share"] and first["label"] == f"{first['kind']} {', '.join(first['tables'])}"
+    assert first["query_time_us"]["max"] == first["sample"]["query_time_us"] and sum(first["latency_decades"]) == first["calls"] == sum(d["count"] for d in first["users"])
     assert render(report, "markdown").count("\n| ") >= 7 and "[critical]" in render(report, "text")
     text = api.analyze_text(spark, "".join(open(f"{path}/{n}").read() for n in sorted(os.listdir(path)) if n.startswith("part")), None, Options(top=0, sort="calls", database="POST"))
     assert text.run["filtered"] == 0 and len(text.classes) == report.run["class_count"]
@@ -114,6 +119,37 @@ def test_plan_rows():
     assert [(r["table_name"], r["rows"], r["filesort"], r["temporary"]) for r in rows] == [("a", 5, True, False), ("b", 0, True, False)]
 
 
+def test_lines_wrap():
+    assert wrapped("a bb ccc " * 9, 24, "  ") and all(len(x) <= 24 for x in wrapped("a bb ccc " * 9, 24, "  ")) and wrapped("x" * 50, 20) == ["x" * 50]
+
+
+def test_standard_input_is_analysed(spark, tmp_path, monkeypatch, capsys):
+    import io
+    import sys
+
+    write_log(spark, f"{tmp_path}/log", 60, 3)
+    data = b"".join(p.read_bytes() for p in (tmp_path / "log").glob("part*"))
+    monkeypatch.setattr("tidemark.__main__._session", lambda: spark)
+    monkeypatch.setattr(sys, "stdin", type("In", (), {"buffer": io.BytesIO(data)})())
+    assert main(["analyze", "--format", "json", "-"]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told["totals"]["events"] + told["run"]["skipped"] == 60 and told["run"]["source"] == "-"
+
+
+def test_settings_and_ports(tmp_path):
+    from tidemark.ports import FileExplainer, FileSchemaSource, Settings
+
+    assert Settings.from_env({"TIDEMARK_TOP": "7", "TIDEMARK_DISABLE": "ST001, select-star", "OTHER": "x"}).options() == Options(top=7, disabled_rules=("ST001", "select-star"))
+    with pytest.raises(ValueError, match="TIDEMARK_TOP"):
+        Settings.from_env({"TIDEMARK_TOP": "many"})
+    (tmp_path / "b.sql").write_text("CREATE TABLE b (x int);")
+    (tmp_path / "a.sql").write_text("CREATE TABLE a (x int);")
+    assert FileSchemaSource(str(tmp_path)).ddl() == "CREATE TABLE a (x int);\nCREATE TABLE b (x int);"
+    (tmp_path / "0A.json").write_text('{"query_block": {"table": {"table_name": "t", "access_type": "ALL"}}}')
+    explainer = FileExplainer(str(tmp_path))
+    assert [r["table_name"] for r in explainer.explain("0A", "SELECT 1")] == ["t"] and explainer.explain("0B", "SELECT 1") == [] and explainer.explain("0A", "DELETE FROM t") == []
+
+
 def test_command_line(capsys):
     assert main(["fingerprint", "select", "1"]) == 0 and "select ?" in capsys.readouterr().out
     assert main(["advise", "delete from t", "--fail-on", "critical"]) == 2 and main(["advise", "select 1"]) == 0

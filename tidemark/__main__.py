@@ -60,6 +60,20 @@ def _session():
     return SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def _received(session) -> str:
+    """Standard input, copied block by block to a file that the executors can read."""
+    from .sources.scratch import scratch_folder
+    from .sources.slowlog import filesystem
+
+    path = scratch_folder(session, "input")
+    system, folder = filesystem(path)
+    system.create_dir(folder, recursive=True)
+    with system.open_output_stream(f"{folder}/slow.log", compression=None) as out:
+        while block := sys.stdin.buffer.read(1 << 20):
+            out.write(block)
+    return f"{path}/slow.log"
+
+
 def _reached(severities, least: str | None) -> int:
     return FOUND if least and any(SEVERITIES.index(s) >= SEVERITIES.index(least) for s in severities) else DONE
 
@@ -84,7 +98,10 @@ def _run(args) -> int:
     sql = " ".join(args.sql) or sys.stdin.read() if hasattr(args, "sql") else ""
     if args.command == "analyze":
         options = api.Options(args.top, args.sort, args.database, args.min_severity, tuple(args.disable), not args.no_advice)
-        report = api.analyze_file(_session(), args.path, schema, options, args.split_bytes)
+        session = _session()
+        path = _received(session) if args.path == "-" else args.path
+        report = api.analyze_file(session, path, schema, options, args.split_bytes)
+        report.run["source"] = args.path
         print(render(report, args.format), end="")
         return _reached((f.severity for c in report.classes for f in c.findings), args.fail_on)
     if args.command == "advise":

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import math
 import re
+import textwrap
 
+from .. import __version__
 from ..functions.formats import abbreviate, format_compact, format_count, format_duration
-from .report import Report
+from .report import Report, label_of
 
 BARS = "▁▂▃▄▅▆▇█"
 STYLES = {"critical": "\x1b[1;31m", "warning": "\x1b[33m", "info": "\x1b[36m"}
@@ -27,9 +29,54 @@ def _clean(value):
     return [_clean(v) for v in value] if isinstance(value, (list, tuple)) else value
 
 
+#: Fixed values of the JSON format: the run's fields with what they hold where nothing is known, and the figures of a class.
+RUN_FIELDS = {"source": "", "bytes": 0, "lines": 0, "skipped": 0, "filtered": 0, "threads": 0, "chunks": 0, "parse_seconds": 0.0, "elapsed_seconds": 0.0, "schema_tables": 0, "database_filter": ""}
+FIGURES = {"lock_time_us": "lock_time_us", "rows_sent": "rows_sent", "rows_examined": "rows_examined", "rows_affected": "rows_affected"}
+SAMPLE = {"sql": "sql", "database": "database", "user": "user", "host": "host", "query_time_us": "query_time_us", "rows_examined": "rows_examined", "rows_sent": "rows_sent", "timestamp": "ts"}
+
+
+def _figures(c, name: str) -> dict:
+    return {"sum": c[f"{name}_sum"], "avg": c[f"{name}_mean"], "min": c[f"{name}_min"], "max": c[f"{name}_max"]}
+
+
+def _class(c) -> dict:
+    tally = lambda found: [{"name": x.name, "count": x.n} for x in found or ()]
+    return {
+        "rank": c["rank"], "id": c.class_id, "kind": c.kind, "fingerprint": c.fingerprint, "label": label_of(c.kind, c.tables, c.fingerprint), "tables": list(c.tables), "calls": c.calls, "time_share": c.time_share,
+        "query_time_us": {**_figures(c, "query_time_us"), "p50": c.p50_us, "p95": c.p95_us, "p99": c.p99_us},
+        **{key: _figures(c, name) for key, name in FIGURES.items()},
+        "bytes_sent": c.bytes_sent,
+        "flags": {"full_scan": c.full_scan_count, "filesort": c.filesort_count, "tmp_table": c.tmp_table_count, "tmp_table_on_disk": c.tmp_disk_count},
+        "latency_decades": [c[f"d{k}"] for k in range(8)],
+        "first_seen": c.first_seen, "last_seen": c.last_seen, "databases": tally(c.databases), "users": tally(c.users),
+        "sample": {key: c[f"worst_{name}"] for key, name in SAMPLE.items()},
+        "findings": [_finding(f) for f in c.findings],
+    }
+
+
+def _finding(f) -> dict:
+    row = f._asdict() if hasattr(f, "_asdict") else f.asDict()
+    return {k: row[k] for k in ("rule_id", "rule_name", "severity", "title", "detail", "suggestion")}
+
+
+def document(report: Report) -> dict:
+    """The report as the JSON format lays it out."""
+    run, t = report.run, report.totals
+    known = {"chunks": run.get("splits", 0), "threads": run.get("splits", 0), "database_filter": run.get("options", {}).get("database", "")}
+    return {
+        "tool": {"name": "tidemark", "version": __version__},
+        "run": {k: run.get(k, known.get(k, nothing)) for k, nothing in RUN_FIELDS.items()},
+        "totals": {"events": t["calls"], **{k: t[f"{k}_sum"] or 0 for k in ("query_time_us", *FIGURES)}, "first_seen": t["first_seen"], "last_seen": t["last_seen"]},
+        "sort": run.get("sort", "time"),
+        "class_count": run["class_count"],
+        "findings": report.severities,
+        "classes": [_class(c) for c in report.classes],
+    }
+
+
 def to_json(report: Report) -> str:
     """The whole report; numbers that are no numbers become null."""
-    return json.dumps(_clean(report.as_dict()), ensure_ascii=False, indent=2)
+    return json.dumps(_clean(document(report)), ensure_ascii=False, indent=2)
 
 
 def cell(text: str) -> str:
@@ -62,20 +109,25 @@ def to_text(report: Report, color: bool = False, width: int = 100, details: int
     for c in report.classes[:details]:
         if c.findings:
             out += ["", f"{c['rank']}. {abbreviate(c.worst_sql, width - 4)}"]
-            out += findings_text(c.findings, color)
+            out += findings_text(c.findings, color, width)
     return "\n".join(out) + "\n"
 
 
-def findings_text(findings, color: bool = False) -> list[str]:
+def wrapped(text: str, width: int, indent: str = "") -> list[str]:
+    """Lines of at most ``width`` characters, each after ``indent``; words that are longer stay whole."""
+    return textwrap.wrap(text, max(20, width), initial_indent=indent, subsequent_indent=indent, break_long_words=False, break_on_hyphens=False)
+
+
+def findings_text(findings, color: bool = False, width: int = 100) -> list[str]:
     out = []
     for f in findings:
         level = f"{STYLES[f.severity]}{f.severity}\x1b[0m" if color else f.severity
-        out += [f"   [{level}] {f.rule_id} {f.title}", f"      {f.detail}", *(f"      > {x}" for x in f.suggestion.split("\n") if x)]
+        out += [f"   [{level}] {f.rule_id} {f.title}", *wrapped(f.detail, width, " " * 6), *(f"      > {x}" for x in f.suggestion.split("\n") if x)]
     return out
 
 
 def findings_json(findings) -> str:
-    return json.dumps([f._asdict() if hasattr(f, "_asdict") else f.asDict() for f in findings], ensure_ascii=False, indent=2)
+    return json.dumps([_finding(f) for f in findings], ensure_ascii=False, indent=2)
 
 
 FORMATS = {"text": to_text, "json": to_json, "markdown": to_markdown, "md": to_markdown}

@@ -31,7 +31,8 @@ BROADCAST_RANGES = 1 << 16  # one row of a number and a name per range: a few MB
 _BLOCK = 1 << 20
 
 
-def _filesystem(uri: str):
+def filesystem(uri: str):
+    """The Arrow filesystem of a URI and the path in it."""
     from pyarrow import fs
 
     if uri.startswith("file:"):
@@ -43,7 +44,7 @@ def _files(uri: str) -> list[tuple[str, int]]:
     """(path, size) of the regular files that a path, a folder or a pattern names, in name order."""
     from pyarrow import fs
 
-    system, path = _filesystem(uri)
+    system, path = filesystem(uri)
     if isinstance(system, fs.LocalFileSystem) and any(c in path for c in "*?["):
         names = sorted(glob.glob(path))
     elif system.get_file_info(path).type == fs.FileType.Directory:
@@ -180,7 +181,7 @@ def _batches(split: _Range):
     def table(columns):
         return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
-    system, _ = _filesystem(split.uri)
+    system, _ = filesystem(split.uri)
     with system.open_input_file(split.path) as stream:
         size = stream.size()
         start, end = (cut_at(stream, size, at) for at in (split.start, split.end))
@@ -198,12 +199,20 @@ def _batches(split: _Range):
             n = len(rows)
             return table([["event"] * n, [split.split] * n, *columns, *([None] * n for _ in range(4))])
 
-        for line, at in _lines_from(stream, start):
-            if at >= end:
+        stream.seek(start)
+        held, place = b"", start
+        while place < end:
+            block = stream.read(min(_BLOCK, end - place))
+            held, place = held + block, place + len(block)
+            upto = len(held) if place >= end or not block else max(held.rfind(b"\n# Time: "), held.rfind(b"\n# User@Host: ")) + 1
+            if upto or len(held) > 16 * _BLOCK:
+                upto = upto or held.rfind(b"\n") + 1
+                parser.feed_bytes(held, place - len(held), upto)
+                held = held[upto:]
+                if len(parser.events) >= 8192:
+                    yield events()
+            if not block:
                 break
-            parser.feed(line, at)
-            if len(parser.events) >= 8192:
-                yield events()
         parser.finish()
         if parser.events:
             yield events()
@@ -236,7 +245,7 @@ class _StreamReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self):
-        system, _ = _filesystem(self.uri)
+        system, _ = filesystem(self.uri)
         found = {}
         for path, size in _files(self.uri):
             with system.open_input_file(path) as stream:
@@ -254,7 +263,7 @@ class _StreamReader(DataSourceStreamReader):
         return size >= before["size"] and zlib.crc32(stream.read(n)) == crc
 
     def partitions(self, start, end):
-        system, _ = _filesystem(self.uri)
+        system, _ = filesystem(self.uri)
         out = []
         for number, (path, now) in enumerate(sorted(end.items())):
             before, high = None, now["end"]
