@@ -21,9 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .encoding import encoder
-from .shared import new_folder
+from .shared import new_folder, ship
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of common chat templates, by how they begin.

@@ -20,9 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .calibration import calibrated, fold_of, held_out, isotonic, labelled_sample
-from .shared import row_key, stage
+from .shared import ROW, only_rows, ship, stage, with_rows
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_spread", "types_of_tokens", "top_word_share", "same_word_twice", "distinct_trigrams",
@@ -185,6 +184,6 @@ def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     Each row is judged by its own text, also where identifiers are null or repeated.
     """
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    poor = quality_scores(keyed, labels, id_col, text_col, carried=("__row",), **options).where("predicted = 0").select("__row").distinct()
-    return keyed.join(poor, "__row", "left_anti").select(*(keyed[c] for c in docs.columns))
+    keyed = with_rows(docs)
+    poor = quality_scores(keyed, labels, id_col, text_col, carried=ROW, **options).where("predicted = 0")
+    return only_rows(keyed, poor, docs.columns, "left_anti")

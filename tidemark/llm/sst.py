@@ -31,9 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ..shipping import ship
 from .encoding import crc32_of_ids, encoder
-from .shared import new_folder, open_filesystem, shuffle_width
+from .shared import new_folder, open_filesystem, ship, shuffle_width
 
 MAGIC = b"TMSST01\n"
 RESTART = 16
