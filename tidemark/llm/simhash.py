@@ -2,7 +2,7 @@
 
 1. Fingerprints: for each text, XXH64 of every word shingle (repeats included); a bit of the 64-bit fingerprint is 1
    if it is set in more than half of the hashes.
-2. Equal fingerprints form one class, represented by its smallest identifier, so copies are never paired up.
+2. Equal fingerprints form one class, named by the fingerprint, so copies are never paired up.
 3. Pigeonhole: the 64 bits are cut into ``blocks`` blocks.  Two fingerprints that differ in at most ``distance`` bits
    agree in at least ``blocks - distance`` of them, so each class is filed once under every choice of that many
    blocks, and every close pair shares a bucket.
@@ -26,9 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shipping import ship
 from .components import components
-from .shared import stage
+from .shared import ROW, only_rows, ship, stage, with_rows
 
 #: ASCII capitals to small letters.
 LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
@@ -63,11 +62,11 @@ def text_fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(bits).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``doc_id, fp`` (fingerprint as a signed long), one row per input row; null text has no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (fingerprint as a signed long) and the long columns ``carried``, one row per input row; null text has no words."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType()), *(T.StructField(c, T.LongType()) for c in carried)])
 
     def work(batches):
         import pyarrow as pa
@@ -75,9 +74,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             found = (text_fingerprint(x.as_py(), shingle) for x in batch.column(1))
             signed = [x - (1 << 64) if x >> 63 else x for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64()), *batch.columns[2:]], schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried).mapInArrow(work, schema)
 
 
 def _bounds(blocks: int) -> list[tuple[int, int]]:
@@ -95,10 +94,11 @@ def bucket_keys(fp: Column, distance: int, blocks: int) -> Column:
     return F.array(*(F.struct(F.lit(i).cast("int").alias("choice"), k.alias("bits")) for i, k in enumerate(keys)))
 
 
-def _forest(fps, ids, distance):
-    """Edges (id, smallest id of its group) of the groups linked within one bucket, by search from each member."""
+def _forest(fps, distance):
+    """Edges (member, least of its group) of the groups linked within one bucket, by search from each member."""
     import numpy as np
 
+    ids = fps.view(np.int64)
     left = np.arange(len(fps))
     us, vs = [], []
     while len(left):
@@ -119,7 +119,7 @@ def _forest(fps, ids, distance):
 
 
 def _link(distance: int, limit: int):
-    """Arrow batches (choice, bits, fp, id), sorted by bucket, to rows (kind, u, v): links 0, members of full buckets 1."""
+    """Arrow batches (choice, bits, fp), sorted by bucket, to rows (kind, u, v): links 0, members of full buckets 1 (as u)."""
 
     def work(batches):
         import numpy as np
@@ -129,13 +129,13 @@ def _link(distance: int, limit: int):
             u, v = np.concatenate(us), np.concatenate(vs)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int8)), pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64))], ["kind", "u", "v"])
 
-        def whole(fps, ids, starts, ends):
+        def whole(ids, starts, ends):
             """All buckets [starts, ends) of these rows."""
-            sizes = ends - starts
+            fps, sizes = ids.view(np.uint64), ends - starts
             us, vs = [], []
             small = np.zeros(len(fps), np.int64)
             for a, b in zip(starts[sizes > SMALL_BUCKET], ends[sizes > SMALL_BUCKET], strict=True):
-                u, v = _forest(fps[a:b], ids[a:b], distance)
+                u, v = _forest(fps[a:b], distance)
                 us += u
                 vs += v
             keep = (sizes > 1) & (sizes <= SMALL_BUCKET)
@@ -154,11 +154,11 @@ def _link(distance: int, limit: int):
 
         held, full = None, None  # rows of the last bucket so far; the bucket whose members only pass through
         for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             if full is not None:
                 same = (now[0] == full[0]) & (now[1] == full[1])
                 if same.any():
-                    yield emit(1, [now[3][same]], [now[2][same]])
+                    yield emit(1, [now[2][same]], [now[2][same]])
                     now = [x[~same] for x in now]
                 if len(now[0]):
                     full = None
@@ -170,20 +170,19 @@ def _link(distance: int, limit: int):
             starts = np.concatenate([[0], new])
             ends = np.concatenate([new, [len(now[0])]])
             sizes = ends - starts
-            fps = now[2].view(np.uint64)
             for a, b in zip(starts[:-1][sizes[:-1] > limit], ends[:-1][sizes[:-1] > limit], strict=True):
-                yield emit(1, [now[3][a:b]], [now[2][a:b]])
+                yield emit(1, [now[2][a:b]], [now[2][a:b]])
             fit = np.flatnonzero(sizes[:-1] <= limit)
-            us, vs = whole(fps, now[3], starts[fit], ends[fit])
+            us, vs = whole(now[2], starts[fit], ends[fit])
             if us:
                 yield emit(0, us, vs)
             last = int(starts[-1])
             held = [x[last:].copy() for x in now]
             if len(held[0]) > limit:
-                yield emit(1, [held[3]], [held[2]])
+                yield emit(1, [held[2]], [held[2]])
                 full, held = (held[0][0], held[1][0]), None
         if held is not None and len(held[0]) > 1:
-            us, vs = _forest(held[2].view(np.uint64), held[3], distance)
+            us, vs = _forest(held[2].view(np.uint64), distance)
             if us:
                 yield emit(0, us, vs)
 
@@ -191,45 +190,65 @@ def _link(distance: int, limit: int):
 
 
 def _by_midpoints(members: DataFrame, distance: int) -> DataFrame:
-    """Links (u, v) among members (u = id, v = fp) of overfull buckets."""
+    """Links (u, v) among the members (u) of overfull buckets."""
     radius = -(-distance // 2)
     masks = [reduce(lambda m, b: m | 1 << b, bits, 0) for r in range(radius + 1) for bits in combinations(range(64), r)]
     ball = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in masks))
     if distance % 2:
         raise ValueError("overfull buckets need an even distance")
-    spread = members.distinct().select("u", F.explode(F.transform(ball, lambda m: F.col("v").bitwiseXOR(m))).alias("mid"))
+    spread = members.select("u").distinct().select("u", F.explode(F.transform(ball, lambda m: F.col("u").bitwiseXOR(m))).alias("mid"))
     least = spread.groupBy("mid").agg(F.min("u").alias("least"))
     return spread.join(least, "mid").where("u <> least").select("u", F.col("least").alias("v")).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, blocks: int | None = None, bucket_limit: int = 16384) -> DataFrame:
-    """One row per document: ``doc_id, fingerprint`` (16 hex digits), ``component_id, fp`` (signed long).
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, fingerprint`` (16 hex digits), ``component_id, fp`` (signed long), ``stays``.
 
-    ``component_id`` is the smallest identifier that can be reached over links.  Null or blank text has the
-    fingerprint zero and is linked like any other.  A null identifier takes part through its class.  Rows that repeat
-    an identifier each keep their own fingerprint.  An empty table gives an empty result.
+    ``component_id`` is the smallest identifier that can be reached over links, null if no member has one.  Null or
+    blank text has the fingerprint zero and is linked like any other; so are rows without an identifier.  Rows that
+    repeat an identifier each keep their own fingerprint.  ``stays`` is true for exactly one row of each group: the
+    smallest identifier, and of rows that repeat it the first by file and place.  Identifiers are whole numbers, or
+    what a cast to long accepts.  An empty table gives an empty result.  ``options`` are those of ``grouped_rows``.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = stage(fingerprints(docs, "doc_id", "text", shingle), "prints")
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
+    return grouped_rows(with_rows(docs), id_col, text_col, **options).drop(*ROW)
+
+
+def grouped_rows(rows: DataFrame, id_col: str, text_col: str, shingle: int = 4, distance: int = 4, blocks: int | None = None, bucket_limit: int = 16384) -> DataFrame:
+    """``near_groups`` of rows that have their ``ROW`` columns, with these columns."""
+    texts = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *ROW)
+    prints = stage(fingerprints(texts, "doc_id", "text", shingle, carried=ROW), "prints")
+    best = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), *ROW)
+    classes = stage(prints.groupBy("fp").agg(F.min(best).alias("best")), "classes")
     if blocks is None:
         n = classes.count()
         blocks = distance + (2 if n <= 1 << 26 else 3 if n <= 1 << 32 else 4)
-    filed = classes.where("id is not null").select("fp", "id", F.explode(bucket_keys(F.col("fp"), distance, blocks)).alias("k")).select("k.choice", "k.bits", "fp", "id")
+    filed = classes.select("fp", F.explode(bucket_keys(F.col("fp"), distance, blocks)).alias("k")).select("k.choice", "k.bits", "fp")
     linked = stage(
         filed.repartition("choice", "bits").sortWithinPartitions("choice", "bits").mapInArrow(_link(distance, bucket_limit), "kind byte, u long, v long"),
         "links",
     )
     edges = linked.where("kind = 0").select("u", "v")
-    crowd = linked.where("kind = 1").select("u", "v")
+    crowd = linked.where("kind = 1").select("u")
     if not crowd.isEmpty():
         edges = edges.union(_by_midpoints(crowd, distance))
     groups = components(edges)
-    of_class = classes.join(groups, classes["id"] == groups["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    linked_to = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "best", F.coalesce("component", "fp").alias("label"))
+    winners = linked_to.groupBy("label").agg(F.min("best").alias("winner"))
+    of_class = linked_to.join(winners, "label").select("fp", "winner")
+    return prints.join(of_class, "fp").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("winner.id").alias("component_id"),
+        "fp",
+        ((F.col(ROW[0]) == F.col(f"winner.{ROW[0]}")) & (F.col(ROW[1]) == F.col(f"winner.{ROW[1]}"))).alias("stays"),
+        *ROW,
+    )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay, with all their columns: of each group the one with the smallest identifier."""
-    stay = near_groups(docs, id_col, text_col, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__kept_id"]), "left_semi")
+    """The rows that stay, one of each group, with all their columns; see ``near_groups``.
+
+    Rows are told apart by their place, so null and repeated identifiers and repeated rows do not keep a copy in.
+    """
+    keyed = with_rows(docs)
+    return only_rows(keyed, grouped_rows(keyed, id_col, text_col, **options).where("stays"), docs.columns)
