@@ -1,15 +1,19 @@
 """Benchmark decontamination with suffix arrays over shards of the training documents.
 
 Documents are read in shards of a bounded number of bytes.  A shard's words become integers (the benchmark's
-vocabulary; any other word can match nothing), and its suffixes are sorted.  The array is sparse: it holds only the
-suffixes whose first words begin some test window, since no test suffix can match another for the length of a window.
-Every distinct test window is located by binary search, all windows at once; the range between its two bounds are all
-its verbatim occurrences.  Occurrences that cannot be extended to the left are then extended to the right as far as
-document and item agree, which gives the longest matches with their places.
-
-A window is ``window`` consecutive words of an item, or the whole of a shorter item.  The benchmark's index is sent to
-the workers in blocks of at most ``block_bytes`` of text, one held at a time, so its size is bounded as well; shards
-need no exchange of documents at all.
+vocabulary; any other word can match nothing), and its suffixes are sorted in full: as far as the longest test suffix
+reaches, up to their end at a word that no test has.  The array is sparse: it leaves out suffixes whose first two words
+begin no test window, since they cannot match for the length of a window.  Beside it stands the array of common
+prefixes of neighbours.
+
+Every test suffix is located by binary search, all of them at once: the range of suffixes that share its window first,
+then its place within that range.  The longest verbatim match is the longer common prefix with the two neighbours of
+that place, and the matches with all others in the range follow from the array of common prefixes.  Matches that could
+begin a word earlier belong to an earlier test suffix and are left out.
+
+A window is ``window`` consecutive words of an item, or the whole of a shorter item.  The benchmark lies in files of
+the shared folder, in blocks of at most ``block_bytes`` of text; a worker holds the index of one block at a time.
+Shards need no exchange of documents at all.
 """
 
 from __future__ import annotations
@@ -20,12 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .shared import row_key
+from .shared import ROW, new_folder, only_rows, open_filesystem, ship, with_rows
 
 #: Bytes of words: digits, small letters, and everything beyond ASCII; capitals become small, the rest separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SEPARATOR, UNKNOWN = -1, -2
+STRETCH = 32  # words that a comparison looks at at a time
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -33,8 +37,22 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def common_prefix(a: np.ndarray, at: np.ndarray, b: np.ndarray, own: np.ndarray, most: int) -> np.ndarray:
+    """For each pair the number of equal words, ``most`` at most, of ``a[at:]`` and ``b[own:]``; a word below 0 equals nothing."""
+    length = np.zeros(len(at), np.int64)
+    going, steps = np.arange(len(at)), np.arange(STRETCH)
+    while len(going):
+        x = a[np.minimum((at[going] + length[going])[:, None] + steps, len(a) - 1)]
+        y = b[np.minimum((own[going] + length[going])[:, None] + steps, len(b) - 1)]
+        differ = (x != y) | (x < 0)
+        some = differ.any(axis=1)
+        length[going] += np.where(some, differ.argmax(axis=1), STRETCH)
+        going = going[~some & (length[going] < most)]
+    return np.minimum(length, most)
+
+
 class WindowIndex:
-    """The test windows of a block of items."""
+    """The test suffixes and windows of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = 8):
         by_text: dict[tuple[bytes, ...], list[int]] = {}
@@ -42,6 +60,7 @@ class WindowIndex:
             if item is not None and (words := tuple(words_of(text))):
                 by_text.setdefault(words, []).append(item)
         texts = sorted(by_text)
+        self.longest = max(map(len, texts), default=0)
         self.width, self.ids = window, [sorted(set(by_text[t])) for t in texts]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
         coded = [np.array([self.vocabulary[w] for w in t], np.int64) for t in texts]
@@ -78,14 +97,28 @@ class WindowIndex:
         return np.fromiter((get(w, UNKNOWN) for w in words), np.int64, len(words))
 
     def suffixes(self, shard: np.ndarray) -> np.ndarray:
-        """Sparse suffix array of a coded shard (which ends in ``width`` separators), sorted by its first words."""
+        """Sparse suffix array of a coded shard (which ends in ``width`` separators)."""
         n = len(self.vocabulary)
         at = np.flatnonzero(self.first[np.where(shard[: len(shard) - self.width] < 0, n, shard[: len(shard) - self.width])])
         pair = shard[at] * (n + 1) + np.maximum(shard[at + 1], 0)
         known = np.searchsorted(self.pairs, pair)
         fits = (shard[at + 1] >= 0) & (self.pairs[np.minimum(known, len(self.pairs) - 1)] == pair) if len(self.pairs) else np.zeros(len(at), bool)
-        at = at[fits | self.alone[shard[at]]]
-        return at[np.lexsort([shard[at + k] for k in range(self.width - 1, -1, -1)])]
+        return self._sorted(shard, at[fits | self.alone[shard[at]]])
+
+    def _sorted(self, shard: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Suffixes in the order of their words; those that agree as far as a test can reach, or to their end, by place."""
+        tied, group, depth = np.arange(len(order)), np.zeros(len(order), np.int64), 0
+        while len(tied) and depth < self.longest:
+            step = self.width if depth == 0 else STRETCH
+            words = shard[np.minimum((order[tied] + depth)[:, None] + np.arange(step), len(shard) - 1)]
+            words[np.logical_or.accumulate(words < 0, axis=1)] = SEPARATOR  # a suffix ends there
+            by = np.lexsort([*words.T[::-1], group])
+            order[tied], words, group = order[tied][by], words[by], group[by]
+            same = (group[1:] == group[:-1]) & (words[1:] == words[:-1]).all(axis=1) & (words[1:, -1] >= 0)
+            near = np.r_[same, False] | np.r_[False, same]
+            group = np.cumsum(np.r_[True, ~same])[near]
+            tied, depth = tied[near], depth + step
+        return order
 
     def _bound(self, shard: np.ndarray, order: np.ndarray, after: bool) -> np.ndarray:
         """For each window the first place in ``order`` that is not before it (or that is after all it begins)."""
@@ -103,33 +136,50 @@ class WindowIndex:
             high[open_[~less]] = mid[~less]
         return low
 
-    def occurrences(self, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, window) of every occurrence of a test window in the shard, by position."""
-        if not len(self.rows):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def search(self, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffix array, and the range in it of every window."""
         order = self.suffixes(shard)
-        a, b = self._bound(shard, order, False), self._bound(shard, order, True)
-        found = np.repeat(np.arange(len(a)), b - a)
-        at = order[np.arange(len(found)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)] if len(found) else found
-        by = np.lexsort([found, at])
-        return at[by], found[by]
-
-    def matches(self, shard: np.ndarray, at: np.ndarray, window: np.ndarray):
-        """Maximal verbatim matches (position, item, place in the item, words) that contain a window."""
-        n = self.place_from[window + 1] - self.place_from[window]
-        p = np.repeat(at, n)
-        place = self.places[np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.place_from[window], n)] if len(p) else p
+        return order, self._bound(shard, order, False), self._bound(shard, order, True)
+
+    @staticmethod
+    def spread(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(k, values[j]) for every range k and every j in [a[k], b[k])."""
+        own = np.repeat(np.arange(len(a)), b - a)
+        return own, values[np.arange(len(own)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)]
+
+    def matches(self, shard: np.ndarray, order: np.ndarray, a: np.ndarray, b: np.ndarray):
+        """Matches (position, item, place in the item, words) of test suffixes that cannot begin a word earlier."""
+        window, place = self.spread(self.places, self.place_from[:-1][a < b], self.place_from[1:][a < b])
+        window = np.flatnonzero(a < b)[window]
+        a, b, size = a[window], b[window], self.sizes[window]
         item, j = self.item_of[place], self.at[place]
-        own = self.begin[item] + j
-        longest = np.repeat(self.sizes[window], n)
-        left = (p == 0) | (shard[np.maximum(p - 1, 0)] != self.words[own - 1]) | (longest < self.width)
-        p, item, j, own, longest = p[left], item[left], j[left], own[left], longest[left]
-        going = np.flatnonzero(longest == self.width)
-        while len(going):
-            a, b = p[going] + longest[going], own[going] + longest[going]
-            going = going[shard[np.minimum(a, len(shard) - 1)] == self.words[np.minimum(b, len(self.words) - 1)]]
-            longest[going] += 1
-        return p, item, j, longest
+        own, whole = self.begin[item] + j, size < self.width  # a short item is its own window
+        low, high = a.copy(), b.copy()
+        while (open_ := np.flatnonzero((low < high) & ~whole)).size:  # the place of the whole test suffix
+            mid = (low[open_] + high[open_]) // 2
+            at, test = order[mid], own[open_]
+            n = common_prefix(shard, at, self.words, test, self.longest)
+            have, want = shard[np.minimum(at + n, len(shard) - 1)], self.words[np.minimum(test + n, len(self.words) - 1)]
+            less = np.maximum(have, SEPARATOR) < np.maximum(want, SEPARATOR)
+            low[open_[less]] = mid[less] + 1
+            high[open_[~less]] = mid[~less]
+        beside = [common_prefix(shard, order[np.clip(low + k, a, np.maximum(a, b - 1))], self.words, own, self.longest) for k in (-1, 0)]
+        shared = common_prefix(shard, order[:-1], shard, order[1:], self.longest)
+        found = []
+        for k in range(len(a)):
+            first, last, here = int(a[k]), int(b[k]), int(low[k])
+            if whole[k]:
+                n = np.full(last - first, size[k])
+            else:
+                after = np.minimum.accumulate(np.r_[beside[1][k], shared[here : last - 1]]) if here < last else shared[:0]
+                before = np.minimum.accumulate(np.r_[beside[0][k], shared[first : here - 1][::-1]])[::-1] if here > first else shared[:0]
+                n = np.r_[before, after]
+            at = order[first:last]
+            if not whole[k]:
+                begins = (at == 0) | (shard[np.maximum(at - 1, 0)] != self.words[own[k] - 1])
+                at, n = at[begins], n[begins]
+            found.append((at, np.full(len(at), item[k]), np.full(len(at), j[k]), n))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
 
 
 def scan_shard(words: list[list[bytes]], indexes) -> list[tuple[int, int, list[int], list[tuple[int, int, int, int]]]]:
@@ -146,7 +196,10 @@ def scan_shard(words: list[list[bytes]], indexes) -> list[tuple[int, int, list[i
             shard[begin[k] : begin[k] + len(w)] = index.code(w)
         if hit is None:
             hit = np.zeros(len(shard) + 1, np.int64)
-        at, window = index.occurrences(shard)
+        if not len(index.rows):
+            continue
+        order, low, high = index.search(shard)
+        window, at = index.spread(order, low, high)
         if not len(at):
             continue
         np.add.at(hit, at, 1)
@@ -157,7 +210,7 @@ def scan_shard(words: list[list[bytes]], indexes) -> list[tuple[int, int, list[i
             k, w = divmod(int(code), n)
             for place in index.places[index.place_from[w] : index.place_from[w + 1]]:
                 out_items[k].update(index.ids[index.item_of[place]])
-        for p, item, j, size in zip(*(x.tolist() for x in index.matches(shard, at, window)), strict=True):
+        for p, item, j, size in zip(*(x.tolist() for x in index.matches(shard, order, low, high)), strict=True):
             k = int(np.searchsorted(begin, p, "right") - 1)
             out_matches[k] += [(p - int(begin[k]), name, j, size) for name in index.ids[item]]
     if hit is None:
@@ -167,59 +220,88 @@ def scan_shard(words: list[list[bytes]], indexes) -> list[tuple[int, int, list[i
 
 
 FOUND = "doc_id long, n_words long, n_hit long, items array<long>, matches array<struct<start:long,item_id:long,item_start:long,words:long>>"
-
-
-def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, shard_bytes: int = 1 << 24, block_bytes: int = 1 << 24) -> DataFrame:
-    """``doc_id, n_words, n_hit, items, matches`` for each row of ``docs``.
+_held: dict[str, WindowIndex] = {}
+
+
+def _block(path: str, window: int) -> WindowIndex:
+    """The index of a block of items; a worker remembers the last one."""
+    key = f"{window} {path}"
+    if key not in _held:
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSelector
+
+        _held.clear()
+        fs, base = open_filesystem(path)
+        items: list[tuple[int, str]] = []
+        for file in sorted(f.path for f in fs.get_file_info(FileSelector(base, allow_not_found=True)) if f.path.endswith(".parquet")):
+            with fs.open_input_file(file) as source:
+                table = pq.ParquetFile(source).read()
+            items += zip(table.column("item").to_pylist(), table.column("text").to_pylist(), strict=True)
+        _held[key] = WindowIndex(items, window)
+    return _held[key]
+
+
+def find_matches(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 8,
+    shard_bytes: int = 1 << 24,
+    block_bytes: int = 1 << 24,
+    carried: tuple[str, ...] = (),
+) -> DataFrame:
+    """``doc_id, n_words, n_hit, items, matches`` and the long columns ``carried`` for each row of ``docs``.
 
     ``items`` are the identifiers of the items with an occurring window; ``n_hit`` counts the words inside any
-    occurrence; ``matches`` are the maximal verbatim matches.  Null or wordless text has no words; items without words
-    or without an identifier have no window.  Repeated rows of either table change nothing but the rows returned.
+    occurrence; ``matches`` are the longest verbatim matches of test suffixes that cannot begin a word earlier.  Null or
+    wordless text has no words; items without words or without an identifier have no window.  Repeated rows of either
+    table change nothing but the rows returned.  Identifiers are whole numbers, or what a cast to long accepts.
     """
     spark = docs.sparkSession
     ship(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).where("item is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    sent = [
-        spark.sparkContext.broadcast(WindowIndex([(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()], window))
-        for k in range(blocks)
-    ]
-
-    def held(number):
-        value = sent[number].value
-        return value
+    folder = new_folder(spark, "benchmark")
+    items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).repartition(min(blocks, 200), "block").write.partitionBy("block").parquet(folder)
 
     def work(batches):
         import pyarrow as pa
 
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("item_id", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())]))]
-        names = ["doc_id", "n_words", "n_hit", "items", "matches"]
+        names = ["doc_id", "n_words", "n_hit", "items", "matches", *carried]
 
-        def flush(ids, words):
-            found = scan_shard(words, (held(k) for k in range(len(sent))))
+        def flush(ids, words, more):
+            found = scan_shard(words, (_block(f"{folder}/block={k}", window) for k in range(blocks)))
             rows = [(i, *f[:3], [dict(zip(("start", "item_id", "item_start", "words"), m, strict=True)) for m in f[3]]) for i, f in zip(ids, found, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in zip(*more, strict=True))], names)
 
-        ids, words, size = [], [], 0
+        ids, words, more, size = [], [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rest = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True) if carried else ((),) * batch.num_rows
+            for doc, text, extra in zip(batch.column(0).to_pylist(), batch.column(1), rest, strict=True):
                 ids.append(doc)
+                more.append(extra)
                 text = text.as_py()
                 words.append(words_of(text))
                 size += len(text or "") + 64
                 if size >= shard_bytes:
-                    yield flush(ids, words)
-                    ids, words, size = [], [], 0
+                    yield flush(ids, words, more)
+                    ids, words, more, size = [], [], [], 0
         if ids:
-            yield flush(ids, words)
+            yield flush(ids, words, more)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, FOUND)
+    schema = ", ".join([FOUND, *(f"`{c}` long" for c in carried)])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carried).mapInArrow(work, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **options) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match`` per document; see ``find_matches``."""
-    found = find_matches(docs, benchmark, **options)
+def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, carried: tuple[str, ...] = (), **options) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match`` and ``carried`` per document; see ``find_matches``."""
+    found = find_matches(docs, benchmark, carried=carried, **options)
     names = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(
         "doc_id",
@@ -229,6 +311,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **o
         F.sha2(names, 256).alias("items_sha256"),
         (F.size("items") >= min_items).alias("contaminated"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).alias("longest_match"),
+        *carried,
     )
 
 
@@ -237,9 +320,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Each row is judged by its own text, also where identifiers are null or repeated.
     """
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    bad = contamination(keyed, benchmark, min_items, id_col="__row", text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(bad, "__row", "left_anti").select(*(keyed[c] for c in docs.columns))
+    keyed = with_rows(docs)
+    bad = contamination(keyed, benchmark, min_items, carried=ROW, id_col=id_col, text_col=text_col, **options).where("contaminated")
+    return only_rows(keyed, bad, docs.columns, "left_anti")
 
 
 def items_digest(items: list[int]) -> str:
