@@ -2,7 +2,7 @@ import base64
 import hashlib
 import io
 
-from tidemark.llm.warc import read_warc, records_of, write_warc
+from tidemark.llm.warc import chunk_rows, read_warc, records_of, write_warc
 
 PAGES = "page_id long, url string, html string"
 
@@ -58,7 +58,34 @@ def test_nothing_and_extra_columns(spark):
 def test_equal_rows_and_null_identifiers(spark):
     frame = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (None, "u", "x"), (None, None, None)], PAGES)
     rows = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in read_warc(spark, write_warc(frame)).where("last").collect())
-    assert rows == [(0, "response", None), (0, "revisit", 1), (1, "response", None), (1, "response", None)]
+    assert rows == [(0, "response", None), (0, "revisit", 1), (1, "response", None), (1, "revisit", 1)]
+
+
+def test_chunks_are_cut_row_by_row(spark):
+    frame = spark.createDataFrame([(1, bytearray(range(256)) * 1000), (2, bytearray()), (3, bytearray(b"x" * 100))], "page_id long, payload binary")
+    rows = chunk_rows(frame, 100)
+    assert "transform" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    parts = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.page_id, r.chunk_no)):
+        parts.setdefault(r.page_id, []).append(bytes(r.data))
+    assert {k: b"".join(v) for k, v in parts.items()} == {r.page_id: bytes(r.payload) for r in frame.collect()}
+    assert [len(parts[k]) for k in (1, 2, 3)] == [2560, 1, 1] and max(len(x) for v in parts.values() for x in v) == 100
+
+
+def test_a_large_payload_round_trip(spark):
+    html = "".join(chr(97 + k % 23) for k in range(1 << 16)) * 320  # 21 MB
+    frame = spark.createDataFrame([(1, "u", html), (2, "u", html), (3, "u", "small")], PAGES)
+    last = {r.page_id: r for r in read_warc(spark, write_warc(frame), with_data=False).where("last").collect()}
+    assert (last[2].payload_digest, last[2].payload_bytes, last[2].chunk_no) == (digest(html.encode()), len(html), 319)
+    assert (last[1].record_type, last[1].refers_to) == ("revisit", 2)
+
+
+def test_a_shared_payload_is_settled_over_the_leaves(spark):
+    frame = spark.range(3000).selectExpr("id AS page_id", "'u' AS url", "if(id % 3 = 0, '', concat('p', id % 10)) AS html")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in read_warc(spark, write_warc(frame), with_data=False).where("last").collect()}
+    rows = {r.page_id: r.html for r in frame.collect()}
+    keeper = {html: max(i for i, h in rows.items() if h == html) for html in set(rows.values())}
+    assert got == {i: ("response", None) if keeper[h] == i else ("revisit", keeper[h]) for i, h in rows.items()}
 
 
 def test_damage_is_noticed():

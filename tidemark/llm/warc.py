@@ -1,13 +1,17 @@
 """WARC archives written from, and read into, chunked record tables.
 
-A payload is a series of rows (record, chunk number, bytes).  The writer copies chunk after chunk into the archive and
-the reader emits chunk after chunk from it; both keep only an incremental SHA-1, so memory is bounded by a chunk and
-not by a record.  The writer fails if the digest of what it streamed differs from the one that was promised in the
-record's header; the reader carries the digest of all bytes so far in each chunk row.
+A payload is a series of rows (record, chunk number, bytes), cut where the table is scanned: each row of the series
+takes its own part of the payload, so beyond the input's own row no whole payload is copied, shuffled or sorted.  The
+rows of a record, and before them one row with its header, meet in one partition in the order of the chunks.  The
+writer copies chunk after chunk into the archive and the reader emits chunk after chunk from it; both keep only an
+incremental SHA-1, so their memory is bounded by a chunk and not by a record.  The writer fails if the digest of what
+it streamed differs from the one that was promised in the record's header; the reader carries the digest of all bytes
+so far in each chunk row.
 
 Records with equal payloads of at least ``min_revisit_bytes`` are written once: the one with the largest identifier is
-the response and the others are revisit records that refer to it.  A task names its files by attempt; only files in
-the manifest count.
+the response and the others are revisit records that refer to it.  A payload that a third of all rows share is settled
+over ``leaves``, dealt by the rows' places, so no task sees all of them.  A task names its files by attempt; only files
+in the manifest count.
 """
 
 from __future__ import annotations
@@ -21,8 +25,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .shared import new_folder, open_filesystem, shuffle_width, stage
+from .shared import ROW, new_folder, open_filesystem, ship, shuffle_width, stage, with_rows
 
 CHUNK = 1 << 16
 #: Fixed values of the WARC/1.1 format.
@@ -80,37 +83,54 @@ class _Member:
             self.sink.write(rest)
 
 
-def plan_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """``page_id, sha1, size, refers_to`` of each row; refers_to is null for responses."""
-    known = stage(pages.select("page_id", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size")), "digests")
-    first = known.where(F.col("size") >= min_revisit_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("first"))
-    return known.join(first, ["sha1", "size"], "left").select("page_id", "sha1", "size", F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+def plan_records(pages: DataFrame, min_revisit_bytes: int = 0, leaves: int | None = None) -> DataFrame:
+    """``ROW, page_id, url, sha1, size, revisit, refers_to`` of each row of ``pages (ROW, page_id, url, payload)``."""
+    leaves = leaves or 1 << max(2, (shuffle_width(pages.sparkSession) - 1).bit_length())
+    known = stage(
+        pages.select(*ROW, "page_id", "url", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"), F.pmod(F.xxhash64(*ROW), F.lit(leaves)).alias("leaf")),
+        "digests",
+    )
+    best = F.struct(F.col("page_id").isNotNull().alias("named"), F.col("page_id").alias("id"), *ROW)
+    leaf = known.where(F.col("size") >= min_revisit_bytes).groupBy("leaf", "sha1", "size").agg(F.max(best).alias("best"))
+    top = leaf.groupBy("sha1", "size").agg(F.max("best").alias("first"))
+    first = leaf.select("leaf", "sha1", "size").join(top, ["sha1", "size"])
+    revisit = F.coalesce(~((F.col(f"first.{ROW[0]}") == F.col(ROW[0])) & (F.col(f"first.{ROW[1]}") == F.col(ROW[1]))), F.lit(False))
+    return known.join(first, ["leaf", "sha1", "size"], "left").select(*ROW, "page_id", "url", "sha1", "size", revisit.alias("revisit"), F.when(revisit, F.col("first.id")).alias("refers_to"))
 
 
 def chunk_rows(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Rows (…, chunk_no, data) instead of ``payload``; an empty payload has one empty chunk."""
+    """Rows (…, chunk_no, data) instead of ``payload``, each cut by itself; an empty payload has one empty chunk."""
     last = F.greatest(F.ceil((F.octet_length("payload") / F.lit(chunk))).cast("int") - 1, F.lit(0))
-    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("chunk_no"), F.substring("payload", k * chunk + 1, F.lit(chunk)).alias("data")))
     rest = [c for c in pages.columns if c != "payload"]
-    return pages.select(*rest, F.explode(parts).alias("part")).select(*rest, "part.chunk_no", "part.data")
-
-
-def write_warc(pages: DataFrame, out_uri: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, file_bytes: int = 1 << 28, compress: bool = True) -> DataFrame:
+    numbered = pages.select(*rest, "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    return numbered.select(*rest, "chunk_no", F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
+
+
+def write_warc(
+    pages: DataFrame,
+    out_uri: str | None = None,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    min_revisit_bytes: int = 0,
+    file_bytes: int = 1 << 28,
+    compress: bool = True,
+) -> DataFrame:
     """Write one record per row below ``out_uri`` (a shared folder) and return the manifest ``path, records, bytes``.
 
-    The payload is the text in UTF-8; null is empty.  Identifiers should be unique: rows that repeat one are each
-    written, and the one with the largest identifier is decided by value, so equal rows are all responses.  A null
-    identifier or URL is written as such.  An empty table gives an empty manifest.
+    The payload is the text in UTF-8; null is empty.  Of rows that repeat the largest identifier of a payload the last
+    by file and place is the response; rows without an identifier are responses only where no row with the payload has
+    one.  A null identifier or URL is written as such.  Identifiers are whole numbers, or what a cast to long accepts.
+    An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     ship(spark)
     folder = out_uri or new_folder(spark, "warc")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    plan = stage(plan_records(rows, min_revisit_bytes).distinct(), "plan").withColumnRenamed("page_id", "of_page")
-    keyed = rows.withColumn("sha1", F.sha1("payload"))
-    joined = keyed.join(plan, keyed["page_id"].eqNullSafe(plan["of_page"]) & (keyed["sha1"] == plan["sha1"])).select(
-        "page_id", "url", plan["sha1"], "size", "refers_to", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload")
-    )
+    rows = with_rows(pages).select(*ROW, F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
+    plan = plan_records(rows, min_revisit_bytes)
+    heads = plan.select(*ROW, F.lit(-1).alias("chunk_no"), F.struct("page_id", "url", "sha1", "size", "revisit", "refers_to").alias("head"), F.lit(None).cast("binary").alias("data"))
+    chunks = chunk_rows(rows.select(*ROW, "payload")).select(*ROW, "chunk_no", F.lit(None).cast(heads.schema["head"].dataType).alias("head"), "data")
+    ordered = heads.unionByName(chunks).repartition(*ROW).sortWithinPartitions(*ROW, "chunk_no").select("chunk_no", "head.*", "data")
 
     def work(batches):
         import pyarrow as pa
@@ -131,8 +151,8 @@ def write_warc(pages: DataFrame, out_uri: str | None = None, id_col: str = "page
         for batch in batches:
             cols = [batch.column(k) for k in range(batch.num_columns)]
             for k in range(batch.num_rows):
-                page, url, sha1, size, refers, chunk, data = (c[k] for c in cols)
-                if chunk.as_py() == 0:
+                chunk, page, url, sha1, size, revisit, refers, data = (c[k] for c in cols)
+                if chunk.as_py() < 0:
                     if member is not None:
                         end_record()
                         member = None
@@ -146,11 +166,11 @@ def write_warc(pages: DataFrame, out_uri: str | None = None, id_col: str = "page
                         path, records, written = f"{folder}/{name}", 0, 0
                         sink = fs.open_output_stream(f"{base}/{name}", compression=None)
                     promised = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
-                    kind = "response" if not refers.is_valid else "revisit"
+                    kind = "revisit" if revisit.as_py() else "response"
                     member, records = _Member(sink, compress), records + 1
                     member.write(head_of(page.as_py(), url.as_py(), promised, size.as_py(), kind, refers.as_py()) + HTTP_HEAD)
                     digest = hashlib.sha1() if kind == "response" else None
-                if digest is not None:
+                elif digest is not None:
                     digest.update(data.as_buffer())
                     member.write(data.as_buffer())
         if member is not None:
@@ -161,7 +181,7 @@ def write_warc(pages: DataFrame, out_uri: str | None = None, id_col: str = "page
         cols = list(zip(*done, strict=True)) if done else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "records", "bytes"])
 
-    return stage(chunk_rows(joined).mapInArrow(work, "path string, records long, bytes long"), "manifest")
+    return stage(ordered.mapInArrow(work, "path string, records long, bytes long"), "manifest")
 
 
 class _Bytes:
