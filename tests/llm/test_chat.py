@@ -46,3 +46,13 @@ def test_nothing_and_extra_columns(spark):
     assert format_conversations(spark.createDataFrame([], ROWS), BYTE).count() == 0
     wide = spark.createDataFrame([(1, 0, "user", "x", 1, 2)], ROWS + ", conv int, formatted int")
     assert format_conversations(wide, BYTE).first().n_turns == 1
+
+
+def test_a_very_long_conversation_and_ties(spark):
+    turns = [(0, "user", "start")] + [(k // 2 + 1, "assistant" if k % 2 else "user", f"turn {k} [INST] é" * (k % 7)) for k in range(6000)]
+    frame = spark.createDataFrame([(9, *t) for t in reversed(turns)] + [(None, 0, "assistant", None), (None, 0, "assistant", None)], ROWS)
+    got = {r.conv_id: r for r in digests(format_conversations(frame, BYTE)).collect()}
+    turns.sort()
+    assert got[9].n_turns == 6001 and got[9].loss_chars == sum(len(t) for _, role, t in turns if role == "assistant")
+    assert got[9].turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in turns).encode()).hexdigest()
+    assert (got[None].n_turns, got[None].loss_chars) == (2, 0)

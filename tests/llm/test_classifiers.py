@@ -53,6 +53,13 @@ def test_without_labels_or_rows(spark, labelled, empty, score):
     assert score(empty, labels).count() == 0
 
 
+@pytest.mark.parametrize("score", [quality_scores, toxicity_scores])
+def test_clashing_columns_nulls_and_repeats(docs, labelled, rows_of, score):
+    got = score(docs, labelled[1]).collect()  # x, y, score-like and other names of the operators' own are columns of the table
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows_of)
+    assert all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in got) and not any(r.held_out for r in got if r.doc_id is None)
+
+
 def test_filter_keeps_columns(docs, spark, labelled):
     out = drop_poor(docs, labelled[1])
     assert out.columns == docs.columns

@@ -81,7 +81,8 @@ def format_conversations(rows: DataFrame, tokenizer_path: str, conv_col: str = "
 
     Turns are ordered by number, then role, then text; repeated turns stay repeated.  Null texts and roles are empty.
     Rows without a conversation identifier form one conversation.  One conversation is held in memory at a time, since
-    it is one output row.  An empty table gives an empty result.
+    it is one output row.  Identifiers are whole numbers, or what a cast to long accepts.  An empty table gives an empty
+    result.
     """
     ship(rows.sparkSession)
 

@@ -162,7 +162,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     ``score`` is the calibrated probability of label 1, from the text alone; null text scores as empty text does.
     Without labels every score is 0.5.  Repeated rows get equal scores.  ``fit_rows`` bounds the labelled rows that
-    the model learns from.
+    the model learns from.  Identifiers are whole numbers, or what a cast to long accepts; a row without one is scored
+    and not learned from.
     """
     table = document_statistics(docs, id_col, text_col, carried)
     chosen = labelled_sample(table, labels, label, fit_rows)

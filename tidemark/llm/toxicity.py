@@ -2,7 +2,8 @@
 
 1. A bounded sample of labelled rows (``fit_rows``) is halved by identifier.
 2. Each half yields a lexicon, and both together the final one: words and word beginnings that are much more frequent
-   in toxic texts, counted by Spark over distinct texts; at most ``lexicon_size`` entries are kept.
+   in toxic texts, counted by Spark over distinct texts.  Every entry that passes is kept; as each stands in several of
+   the sample's texts, the sample's bound bounds their number.
 3. Dense features of a text: densities of lexicon entries, their strength, their nearness to words of the second
    person, capitals, punctuation, obfuscated spellings and entries that only show once a spelling is undone.
 4. Trees are fitted on features that saw each half through the other half's lexicon; scores from trees that have not
@@ -19,9 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .calibration import calibrated, fold_of, held_out, isotonic, labelled_sample
-from .shared import stage
+from .shared import ship, stage
 
 #: Words of the second person in English, German, French and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi vous votre ton ta tú ti tu usted vosotros su".split())
@@ -104,11 +104,10 @@ class Features:
         ]
 
 
-def learn_lexicons(sample: DataFrame, size: int, least_texts: int = 4, least_odds: float = 3.0) -> list[dict[str, float]]:
+def learn_lexicons(sample: DataFrame, least_texts: int = 4, least_odds: float = 3.0) -> list[dict[str, float]]:
     """Entries that speak for label 1, with their log odds: from half 0, from half 1 and from all of ``sample``.
 
-    ``sample`` has ``text, y, half``; equal texts count once.  One counting pass serves all three lexicons, each of
-    which has at most ``size`` entries.
+    ``sample`` has ``text, y, half``; equal texts count once.  One counting pass serves all three lexicons.
     """
 
     def work(batches):
@@ -132,8 +131,8 @@ def learn_lexicons(sample: DataFrame, size: int, least_texts: int = 4, least_odd
         tp, tn = (sum(totals[2 * h + y] or 0 for h in halves) for y in (1, 0))
         odds = F.log((p + 0.5) / (tp + 1.0)) - F.log((n + 0.5) / (tn + 1.0))
         found.append(F.when((p >= least_texts) & (p * 4 >= n) & (odds >= least_odds), odds))
-    scored = counted.select("entry", *(o.alias(f"o{k}") for k, o in enumerate(found)), (F.log1p(F.col("k1") + F.col("k3")) * found[2]).alias("rank"))
-    rows = scored.where("coalesce(o0, o1, o2) is not null").orderBy(F.col("rank").desc_nulls_last(), "entry").limit(size).collect()
+    scored = counted.select("entry", *(o.alias(f"o{k}") for k, o in enumerate(found)))
+    rows = scored.where("coalesce(o0, o1, o2) is not null").collect()  # bounded by the sample
     return [{r.entry: float(r[f"o{k}"]) for r in rows if r[f"o{k}"] is not None} for k in range(3)]
 
 
@@ -204,11 +203,11 @@ class ToxicityModel:
         return calibrated(self.knots, self.trees.margin(x)) if self.trees else np.full(len(x), 0.5)
 
 
-def fit(sample: DataFrame, lexicon_size: int = 1000, folds: int = 4) -> ToxicityModel:
+def fit(sample: DataFrame, folds: int = 4) -> ToxicityModel:
     """Fit on ``sample (doc_id, text, y)``, a bounded table; without rows the model answers 0.5."""
     ship(sample.sparkSession)
     halved = sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int"))
-    *apart, lexicon = learn_lexicons(halved.select("text", "y", "half"), lexicon_size)
+    *apart, lexicon = learn_lexicons(halved.select("text", "y", "half"))
 
     def work(batches):
         import pyarrow as pa
@@ -235,7 +234,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     ``score`` is the calibrated probability of label 1, from the text alone; null text scores as empty text does.
     Without labels every score is 0.5.  Repeated rows get equal scores.  ``fit_rows`` bounds the labelled rows that
-    the model learns from.
+    the model learns from.  Identifiers are whole numbers, or what a cast to long accepts; a row without one is scored
+    and not learned from.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
