@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.histogram import bucket_of
+
 #: Sort keys by name, as columns of a class profile.
 SORT_KEYS = {
     "time": "query_time_us_sum",
@@ -32,9 +34,15 @@ def time_share(profile: DataFrame) -> DataFrame:
 def rank_classes(profile: DataFrame, key: str = "time", top: int = 0) -> DataFrame:
     """The profile with ``rank``, by the key descending and the class id; only the first ``top`` if that is not 0.
 
-    A limit is planned as top-k, so only its rows meet in one task; without one the ranks come from a window over the
-    class table, which is as small as the number of distinct statements.
+    A limit is planned as top-k, so only its rows meet in one task.  Without one, classes are numbered within buckets of
+    like values, and the buckets' sizes, of which there are about two thousand at most, give each bucket's first rank.
     """
-    order = [F.col(sort_column(key)).desc(), F.col("class_id").asc()]
-    kept = profile.orderBy(*order).limit(top) if top else profile
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    column = sort_column(key)
+    order = [F.col(column).desc(), F.col("class_id").asc()]
+    if top:
+        return profile.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    bucketed = profile.withColumn("__bucket", bucket_of(F.greatest(F.coalesce(F.floor(column).cast("long"), F.lit(0)), F.lit(0))))
+    above = Window.orderBy(F.col("__bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).select("__bucket", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
+    return bucketed.join(F.broadcast(sizes), "__bucket").withColumn("rank", (within + F.col("__before")).cast("int")).drop("__bucket", "__before")

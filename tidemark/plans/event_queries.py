@@ -15,6 +15,7 @@ from ..operators import history as H
 from ..operators import metric_rules as M
 from ..operators import profile as P
 from ..operators import ranking as R
+from ..operators.advise import explain_targets as explain_targets_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -292,3 +293,10 @@ def st014_rows_ratio(spark, sf_dir):
 @_query("SELECT class_id, 'ST015' AS rule_id, 'warning' AS severity, tmp_disk_ratio AS ratio FROM pr WHERE tmp_disk_count > 0 AND tmp_disk_ratio >= 0.1::DOUBLE")
 def st015_tmp_disk(spark, sf_dir):
     return M.tmp_tables_on_disk(_profile(spark, sf_dir))
+
+
+@_query("SELECT class_id, rank FROM (SELECT class_id, row_number() OVER (ORDER BY query_time_us_sum DESC, class_id) AS rank FROM pr) WHERE rank <= 7 AND class_id LIKE '%-_' AND class_id < 'p'")
+def explain_targets(spark, sf_dir):
+    """The classes among the costliest seven whose plans are worth asking for, were those of the first letters queries."""
+    ranked = R.rank_classes(_profile(spark, sf_dir), "time").withColumn("kind", F.when(F.col("class_id") < "p", "SELECT").otherwise("UPDATE"))
+    return explain_targets_of(ranked, 7).select("class_id", "rank")

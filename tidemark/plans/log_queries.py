@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..functions.statements import with_fingerprints
 from ..operators import profile as P
 from ..sources.scratch import scratch_folder
-from ..sources.slowlog import read_log_text, read_slow_log
+from ..sources.slowlog import filesystem, read_log_text, read_slow_log, stream_slow_log
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -102,6 +102,33 @@ def log_in_memory(spark, sf_dir):
     return read_log_text(spark, "\n".join([*lines, ""])).select("thread_id", "database", "query_time_us")
 
 
+@_query(f"WITH {_EVENTS} SELECT thread_id, database, query_time_us FROM ev WHERE thread_id <= 1500")
+def growing_log(spark, sf_dir):
+    """A log that grows between the batches of a stream, each time in the middle of an event, and is rotated once."""
+    lines = _dialect_lines(spark, sf_dir).where("seq <= 1500").orderBy("seq").select("value").toPandas()["value"]
+    text = "\n".join([*lines, ""]).encode()
+    turn = text.rindex(b"# Time: ", 0, text.index(b"\nuse db", len(text) // 2))  # a log names its databases anew
+    folder, found, state = (scratch_folder(spark, name) for name in ("growing", "found", "state"))
+    system, base = filesystem(folder)
+    system.create_dir(base, recursive=True)
+
+    def write(name: str, data: bytes) -> None:
+        with system.open_output_stream(f"{base}/{name}", compression=None) as out:
+            out.write(data)
+
+    def step() -> None:
+        query = stream_slow_log(spark, folder, split_bytes=1 << 14).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(found)
+        query.awaitTermination()
+
+    for size in (len(text) // 5, len(text) // 3, turn):
+        write("slow.log", text[:size])
+        step()
+    system.move(f"{base}/slow.log", f"{base}/slow.log.1")
+    write("slow.log", text[turn:])
+    step()
+    return spark.read.parquet(found).select("thread_id", "database", "query_time_us")
+
+
 @_query(f"""WITH {_EVENTS} SELECT database, count(*) AS calls, sum(bytes_sent)::BIGINT AS bytes_sent, sum(rows_affected)::BIGINT AS rows_affected_sum, max(rows_affected) AS rows_affected_max,
             sum(lock_time_us)::BIGINT AS lock_time_us_sum, count(*) FILTER (WHERE filesort) AS filesort_count, count(*) FILTER (WHERE tmp_table) AS tmp_table_count, min(ts) AS first_seen FROM ev GROUP BY database""")
 def log_profile(spark, sf_dir):
@@ -118,7 +145,8 @@ def log_classes(spark, sf_dir):
 
 
 _BYTES = "CASE WHEN n < 1024 THEN n || ' B' " + " ".join(f"WHEN n < {1024 ** (k + 1)} THEN printf('%.1f {u}', n / {1024**k}.0)" for k, u in enumerate(("KB", "MB", "GB"), 1)) + f" ELSE printf('%.1f TB', n / {1024**4}.0) END"
-_COMPACT = "CASE WHEN n < 1000 THEN n::VARCHAR " + " ".join(f"WHEN n < {1000 ** (k + 1)} THEN CASE WHEN n / {1000**k}.0 < 100 THEN printf('%.1f{u}', n / {1000**k}.0) ELSE printf('%.0f{u}', n / {1000**k}.0) END" for k, u in enumerate("kMB", 1)) + " END"
+_IN_THREES = lambda k, u: f"CASE WHEN n / {1000**k}.0 < 100 THEN printf('%.1f{u}', n / {1000**k}.0) ELSE printf('%.0f{u}', n / {1000**k}.0) END"
+_COMPACT = "CASE WHEN n < 1000 THEN n::VARCHAR " + " ".join(f"WHEN n < {1000 ** (k + 1)} THEN {_IN_THREES(k, u)}" for k, u in enumerate("kMB", 1)) + f" ELSE {_IN_THREES(4, 'T')} END"
 _DURATION = """CASE WHEN s < 0.001 THEN printf('%.0f µs', s * 1e6) WHEN s < 0.1 THEN printf('%.1f ms', s * 1e3) WHEN s < 1 THEN printf('%.0f ms', s * 1e3) WHEN s < 10 THEN printf('%.2f s', s)
                WHEN s < 60 THEN printf('%.1f s', s) WHEN floor(s + 0.5) < 3600 THEN printf('%dm %02ds', floor(s + 0.5)::BIGINT // 60, floor(s + 0.5)::BIGINT % 60)
                WHEN floor(s + 0.5) < 86400 THEN printf('%dh %02dm', floor(s + 0.5)::BIGINT // 3600, floor(s + 0.5)::BIGINT % 3600 // 60)

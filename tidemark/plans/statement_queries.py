@@ -128,11 +128,12 @@ _FIXED = r"(ALTER TABLE [\s\S]*;|NOT EXISTS \(.*\)|\.\.\. WHERE .* GROUP BY \.\.
 
 def _suggested(found: DataFrame) -> DataFrame:
     title = F.when(F.col("rule_id") == "ST009", F.regexp_replace("title", r"\d[\d,]*\z", "")).otherwise(F.col("title"))
-    return found.select("id", "rule_id", "severity", title.alias("title"), F.when(F.col("rule_id") == "ST009", "").otherwise(F.regexp_extract("suggestion", _FIXED, 1)).alias("fixed"))
+    return found.select("id", F.col("ordinal").cast("string").alias("ordinal"), "rule_id", "severity", title.alias("title"), F.when(F.col("rule_id") == "ST009", "").otherwise(F.regexp_extract("suggestion", _FIXED, 1)).alias("fixed"))
 
 
 def _advice_columns(wanted) -> dict[str, list[list[str]]]:
-    return {n: [[f[k] for f in found if wanted(f)] for _, found in ADVICE] for k, n in enumerate(("rule_id", "severity", "title", "fixed"))}
+    kept = [[f for f in found if wanted(f)] for _, found in ADVICE]
+    return {"ordinal": [[str(k) for k in range(len(found))] for found in kept]} | {n: [[f[k] for f in found] for found in kept] for k, n in enumerate(("rule_id", "severity", "title", "fixed"))}
 
 
 @_query(_expected(_advice_columns(lambda f: True), "part", "p_partkey"))
