@@ -51,7 +51,7 @@ STEP = 8192
 SEGMENT = 1 << 20  # bytes of text
 PART = 1 << 18  # tokens
 TASK_TOKENS = 1 << 25
-SHRINK, DECAY, STRIDE, LIMIT = 8.0, 10.0, 2.0, 8.0
+SHRINK, DECAY, STRIDE, LIMIT = 8.0, 3.0, 2.0, 8.0
 NEVER = -60.0
 NONE = np.uint64(0xFFFFFFFF)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -472,7 +472,7 @@ def fit_lm(training: DataFrame, **options) -> LanguageModel:
     return fit_coded(coded(training.select("doc_id", "text", F.lit(True).alias("learn"))), **options)
 
 
-def fit_coded(table: DataFrame, top: int = 1 << 18, rounds: int = 2, rate: float = 8.0, rows: int | None = None) -> LanguageModel:
+def fit_coded(table: DataFrame, top: int = 1 << 18, rounds: int = 2, rate: float = 6.0, rows: int | None = None) -> LanguageModel:
     """Fit on the documents of a coded table that may be learned from."""
     spark = table.sparkSession
     counts = stage(counts_of(table), "counts")
