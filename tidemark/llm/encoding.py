@@ -18,6 +18,7 @@ import os
 import re
 import sys
 import zlib
+from array import array
 
 import numpy as np
 
@@ -102,6 +103,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         marks = [] if special_as_text else config.get("added_tokens") or []
@@ -118,8 +120,14 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _pre_token(self, text: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
-        return np.array(ids, self.dtype).tobytes()
+        if text.isascii() and text.isprintable() and " " not in text[1:]:  # such letters stand for themselves
+            shown = self.letters[32] + text[1:] if text[0] == " " else text
+        else:
+            shown = text.encode().decode("latin-1").translate(self.letters)
+        ids = array(self.code, [t.id for t in self.model.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece: by the library's model alone where its pre-tokens are plain, else by the whole tokenizer."""
