@@ -106,6 +106,16 @@ def test_source_is_split_invariant(spark, tmp_path):
     assert [tuple(r) for r in read_log_text(spark, text).orderBy("seq").collect()] == want.events
 
 
+def test_fingerprints_of_the_source_are_those_of_the_column(spark, tmp_path):
+    from tidemark.functions.statements import with_fingerprints
+    from tidemark.sources.slowlog import resolved_events, scan_slow_log
+
+    (tmp_path / "slow.log").write_text(big_log(300) + MYSQL)
+    plain, classed = (resolved_events(scan_slow_log(spark, str(tmp_path / "slow.log"), 9000, f)) for f in (False, True))
+    assert with_fingerprints(classed).columns == with_fingerprints(plain).columns == classed.columns
+    assert sorted(map(str, with_fingerprints(plain).collect())) == sorted(map(str, classed.collect()))
+
+
 def test_several_files_bad_bytes_and_nothing(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "a.log").write_bytes(MYSQL.encode() + b"")

@@ -22,7 +22,7 @@ def _catalog(schema: str | SchemaCatalog | None) -> SchemaCatalog | None:
 
 def analyze_file(spark: SparkSession, path: str, schema: str | SchemaCatalog | None = None, options: Options = Options(), split_bytes: int = 64 << 20) -> Report:
     """Analyse a log file, a folder or a pattern; ``schema`` is DDL text or a catalog."""
-    raw = scan_slow_log(spark, path, split_bytes)
+    raw = scan_slow_log(spark, path, split_bytes, fingerprints=True)
     seen = counters(raw).first()
     run = {"source": path, "skipped": seen.skipped, "lines": seen.lines, "splits": seen.splits}
     return analyze(resolved_events(raw), _catalog(schema), options, run)

@@ -11,32 +11,43 @@ from ..shipping import ship
 FINGERPRINT = "class_id string, fingerprint string, kind string"
 
 
+def classifier(most: int = 100_000):
+    """A function from a statement to (class id, fingerprint, kind) that remembers the shapes of statements."""
+    from ..sql.fingerprint import fingerprint, skeleton
+
+    known: dict[str, tuple[str, str, str]] = {}
+
+    def of(text: str | None) -> tuple[str, str, str]:
+        key = skeleton(text or "")
+        found = known.get(key)
+        if found is None:
+            fp = fingerprint(key)
+            found = (fp.class_id, fp.text.encode("utf-8", "replace").decode(), fp.kind)
+            if len(known) >= most:
+                known.clear()
+            known[key] = found
+        return found
+
+    return of
+
+
 def with_fingerprints(events: DataFrame, column: str = "sql") -> DataFrame:
-    """The frame with ``class_id, fingerprint, kind`` of a statement column.
+    """The frame with ``class_id, fingerprint, kind`` of a statement column; as it is if its source has added them.
 
-    One Arrow pass; shapes of statements are remembered within a task, since logs repeat themselves.
+    One Arrow pass; shapes of statements are remembered within a worker, since logs repeat themselves.
     """
+    if {"class_id", "fingerprint", "kind"} <= set(events.columns):
+        return events
     ship(events.sparkSession)
-    known: dict = {}
+    held: list = []
 
     @F.pandas_udf(FINGERPRINT)
     def compute(texts):
         import pandas as pd
 
-        from tidemark.sql.fingerprint import fingerprint, skeleton
-
-        def of(text):
-            key = skeleton(text or "")
-            found = known.get(key)
-            if found is None:
-                fp = fingerprint(key)
-                found = (fp.class_id, fp.text.encode("utf-8", "replace").decode(), fp.kind)
-                if len(known) >= 100_000:
-                    known.clear()
-                known[key] = found
-            return found
-
-        return pd.DataFrame([of(t) for t in texts], columns=["class_id", "fingerprint", "kind"])
+        if not held:
+            held.append(classifier())
+        return pd.DataFrame(list(map(held[0], texts)), columns=["class_id", "fingerprint", "kind"])
 
     compute.__annotations__ = {}
     return events.withColumn("_fp", compute(F.col(column))).select(*events.columns, "_fp.class_id", "_fp.fingerprint", "_fp.kind")

@@ -194,7 +194,7 @@ def generate_log(spark, sf_dir):
 
 
 def _analysed(spark: SparkSession, path: str, split_bytes: int, top: int) -> DataFrame:
-    events = resolved_events(scan_slow_log(spark, path, split_bytes))
+    events = resolved_events(scan_slow_log(spark, path, split_bytes, fingerprints=True))
     return ranked_classes(cells(with_fingerprints(events)), events, options=Options(top=top))
 
 

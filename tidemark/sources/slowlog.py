@@ -26,6 +26,7 @@ from .records import Boundaries, Parser
 from .scratch import stage
 
 RAW = f"kind string, split long, {EVENT_COLUMNS}, lines long, events long, skipped long, last_use string"
+CLASSED = ", class_id string, fingerprint string, statement_kind string"  # with the option ``fingerprints``
 SPLIT_BYTES = 64 << 20
 BROADCAST_RANGES = 1 << 16  # one row of a number and a name per range: a few MB
 _BLOCK = 1 << 20
@@ -172,11 +173,14 @@ def _clean(text):
     return text if text is None or text.isascii() else text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
-def _batches(split: _Range):
+def _batches(split: _Range, classed: bool):
     import pyarrow as pa
 
+    from ..functions.statements import classifier
+
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
-    fields = [x.split() for x in RAW.split(", ")]
+    fields = [x.split() for x in (RAW + CLASSED * classed).split(", ")]
+    class_of = classifier() if classed else None
 
     def table(columns):
         return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
@@ -197,7 +201,8 @@ def _batches(split: _Range):
             for k in (1, 2, 3, 4):
                 columns[k] = [_clean(x) for x in columns[k]]
             n = len(rows)
-            return table([["event"] * n, [split.split] * n, *columns, *([None] * n for _ in range(4))])
+            classes = [list(c) for c in zip(*map(class_of, columns[1]), strict=True)] if classed else []
+            return table([["event"] * n, [split.split] * n, *columns, *([None] * n for _ in range(4)), *classes])
 
         stream.seek(start)
         held, place = b"", start
@@ -216,12 +221,12 @@ def _batches(split: _Range):
         parser.finish()
         if parser.events:
             yield events()
-    yield table([["end"], [split.split], *([None] for _ in range(17)), [parser.lines], [parser.seen], [parser.skipped], [_clean(parser.database)]])
+    yield table([["end"], [split.split], *([None] for _ in range(17)), [parser.lines], [parser.seen], [parser.skipped], [_clean(parser.database)], *([[None]] * 3 if classed else [])])
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, uri: str, split_bytes: int):
-        self.uri, self.split_bytes = uri, split_bytes
+    def __init__(self, uri: str, split_bytes: int, classed: bool):
+        self.uri, self.split_bytes, self.classed = uri, split_bytes, classed
 
     def partitions(self):
         out = []
@@ -231,14 +236,14 @@ class _Reader(DataSourceReader):
         return out
 
     def read(self, partition):
-        return _batches(partition)
+        return _batches(partition, self.classed)
 
 
 class _StreamReader(DataSourceStreamReader):
     """Every batch takes each file from where the last one ended to where its events are whole now."""
 
-    def __init__(self, uri: str, split_bytes: int):
-        self.uri, self.split_bytes = uri, split_bytes
+    def __init__(self, uri: str, split_bytes: int, classed: bool):
+        self.uri, self.split_bytes, self.classed = uri, split_bytes, classed
         self.known: dict[str, dict] = {}
 
     def initialOffset(self):
@@ -280,24 +285,28 @@ class _StreamReader(DataSourceStreamReader):
         return out
 
     def read(self, partition):
-        return _batches(partition)
+        return _batches(partition, self.classed)
 
     def commit(self, end):
         pass
 
 
 class SlowLogSource(DataSource):
-    """``spark.read.format("slowlog").option("splitBytes", n).load(path)``: a file, a folder or a pattern."""
+    """``spark.read.format("slowlog").option("splitBytes", n).load(path)``: a file, a folder or a pattern.
+
+    ``option("fingerprints", "true")`` adds class id, fingerprint and kind of each statement where it is parsed, which
+    saves the events a second way to Python and back.
+    """
 
     @classmethod
     def name(cls):
         return "slowlog"
 
     def schema(self):
-        return RAW
+        return RAW + CLASSED * self._settings()[2]
 
     def _settings(self):
-        return self.options["path"], int(self.options.get("splitbytes", self.options.get("splitBytes", SPLIT_BYTES)))
+        return self.options["path"], int(self.options.get("splitbytes", self.options.get("splitBytes", SPLIT_BYTES))), self.options.get("fingerprints", "false") == "true"
 
     def reader(self, schema):
         return _Reader(*self._settings())
@@ -311,14 +320,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SlowLogSource)
 
 
-def _raw(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
+def _raw(spark: SparkSession, path: str, split_bytes: int, fingerprints: bool = False) -> DataFrame:
     register(spark)
-    return spark.read.format("slowlog").option("splitBytes", str(split_bytes)).load(path)
+    return spark.read.format("slowlog").option("splitBytes", str(split_bytes)).option("fingerprints", str(fingerprints).lower()).load(path)
 
 
-def scan_slow_log(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def scan_slow_log(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, fingerprints: bool = False) -> DataFrame:
     """The source's rows, parsed once and kept in the shared folder, for ``resolved_events`` and ``counters``."""
-    return stage(_raw(spark, path, split_bytes), "scan")
+    return stage(_raw(spark, path, split_bytes, fingerprints), "scan")
 
 
 def resolved_events(raw: DataFrame, database: str = "") -> DataFrame:
@@ -330,7 +339,8 @@ def resolved_events(raw: DataFrame, database: str = "") -> DataFrame:
     events = raw.where("kind = 'event'").join(carried, "split", "left")
     names = [c.split()[0] for c in EVENT_COLUMNS.split(", ")]
     filled = {"database": F.coalesce("database", "carried", F.lit(database)), "seq": F.shiftleft(F.shiftright("split", 32), 44) + F.col("seq")}
-    return events.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in names))
+    classed = [F.col("class_id"), F.col("fingerprint"), F.col("statement_kind").alias("kind")] if "class_id" in raw.columns else []
+    return events.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in names), *classed)
 
 
 def counters(raw: DataFrame) -> DataFrame:
