@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm.encoding import PieceEncoder, _Known
-from tidemark.llm.packing import hilbert_key, pack, powers_of_two
+from tidemark.llm.packing import CELLS, along_the_curve, hilbert_key, pack, powers_of_two, ranges_of
 from tidemark.llm.sst import ShardReader, ShardWriter, id_of, key_of, look_up, read_token_shards, write_token_shards
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -132,3 +132,33 @@ def test_packing(docs, rows_of):
 def test_packing_of_nothing(empty):
     assert pack(empty, BYTE).count() == 0
     assert powers_of_two(700) == [512, 128, 32, 16, 8, 4] and powers_of_two(0) == []
+
+
+def test_packing_of_a_very_long_text(spark):
+    text = " ".join(f"word{k % 9973}" for k in range(250_000))
+    rows = pack(spark.createDataFrame([(1, text), (2, None), (2, None)], "doc_id long, text string"), BYTE, length=1024).collect()
+    whole = whole_ids(BYTE, text, 0)
+    long = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == 1)
+    assert [s for s, _, _ in long] == np.cumsum([0, *(n for _, n, _ in long)])[:-1].tolist() and sum(n for _, n, _ in long) == len(whole)
+    assert all(crc(whole[s : s + n]) == c for s, n, c in long) and sum(r.doc_id == 2 for r in rows) == 2
+
+
+def test_ranges_hold_about_equal_bytes(spark):
+    assert ranges_of([(0, 4), (1, 5), (2, 3), (5, 40), (6, 1), (7, 9)], 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (5, 2, 4), (6, 6, 1), (7, 6, 1)]
+    assert ranges_of([], 10) == [] and ranges_of([(3, 0)], 10) == [(3, 0, 1)]
+    rng = np.random.default_rng(3)
+    rows = [(k, None if k % 3 else k, int(c), int(b), b"x") for k, (c, b) in enumerate(zip(np.where(rng.random(4000) < 0.3, 7 << 40, rng.integers(0, 1 << 48, 4000)), rng.integers(1, 2000, 4000), strict=True))]
+    table = spark.createDataFrame(rows, "row long, doc_id long, curve long, bytes long, ids binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        placed = along_the_curve(table).selectExpr("curve", "spark_partition_id() AS part").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(placed) == 4000
+    ranges = {}
+    for r in placed:
+        ranges.setdefault(r.part, []).append(r.curve >> (48 - CELLS.bit_length() + 1))
+    assert all(c == sorted(c) for c in ranges.values())  # along the curve within a range, and from range to range
+    ordered = [ranges[p] for p in sorted(ranges)]
+    assert all(a[-1] <= b[0] for a, b in zip(ordered, ordered[1:], strict=False)) and max(map(len, ordered)) < 500

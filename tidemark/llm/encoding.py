@@ -26,8 +26,8 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BYTE_PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _WORD_PIECES = re.compile("[^ \t\n\r]+")
-_CACHED_BYTES, _CACHED_PIECE = 64 << 20, 2048
-_ENTRY = 140  # bytes of a dictionary entry and a bytes object, about
+_CACHED_BYTES, _CACHED_PIECE = 80 << 20, 2048
+_ENTRY = 100  # bytes of a dictionary entry and a bytes object, about
 _loaded: dict[tuple[str, bool], PieceEncoder] = {}
 
 

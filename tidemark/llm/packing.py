@@ -2,8 +2,9 @@
 
 Each document becomes a hashed bag of its token ids, which a fixed Gaussian matrix projects to a few dimensions.  The
 projections, cut to a grid, give a position on a Hilbert curve, so documents close on the curve have similar
-vocabularies.  The tokenised table is range-sorted by (curve position, identifier): copies share a position, and the
-identifier still divides them among tasks.  Each range is then one pass that lays the documents end to end and cuts
+vocabularies.  The curve is cut into ranges of about equal bytes: the bytes of its ``CELLS`` equal stretches are summed
+up, light ones are joined and a heavy one, such as that of many copies, is dealt over several ranges by row.  The table
+is sorted by (curve position, identifier) within each range.  Each range is then one pass that lays the documents end to end and cuts
 every ``length`` ids.  Only a range's last sequence is short; it is cut at powers of two, which need no padding.
 """
 
@@ -13,11 +14,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .encoding import crc32_of_ids, encoder
-from .shared import stage
+from .shared import ship, shuffle_width, stage
 
 BINS, DIMS, BITS = 512, 4, 12
+RANGE_BYTES = 64 << 20  # of ids that one task packs, about
+CELLS = 1 << 14
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -62,22 +64,56 @@ def curve_position(ids: list[np.ndarray], plane: np.ndarray) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, seed: int = 11) -> DataFrame:
-    """``doc_id, curve, ids`` of every row; ids are little-endian bytes with the end id at the end."""
+    """``row, doc_id, curve, bytes, ids`` of every row; ids are little-endian bytes with the end id at the end."""
     ship(docs.sparkSession)
 
     def work(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         enc, plane = encoder(tokenizer_path), _plane(seed)
-        tail = np.array([end_id], enc.dtype).tobytes()
+        tail, row = np.array([end_id], enc.dtype).tobytes(), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 raw = [enc.encode(x.as_py()) for x in part.column(1)]
                 where = curve_position([np.frombuffer(r, enc.dtype) for r in raw], plane)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(where, pa.int64()), pa.array([r + tail for r in raw], pa.binary())], ["doc_id", "curve", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, curve long, ids binary")
+                sizes = [len(r) + len(tail) for r in raw]
+                names = np.arange(row, row + len(raw))
+                row += len(raw)
+                columns = [pa.array(names, pa.int64()), part.column(0), pa.array(where, pa.int64()), pa.array(sizes, pa.int64()), pa.array([r + tail for r in raw], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "curve", "bytes", "ids"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "row long, doc_id long, curve long, bytes long, ids binary")
+
+
+def ranges_of(cells: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """``cell, first range, ranges`` for each (cell, bytes) in order; a range holds about ``most`` bytes."""
+    out, number, used = [], 0, 0
+    for cell, size in cells:
+        parts = max(1, round(size / most))
+        if used and (parts > 1 or used + size > most):
+            number, used = number + 1, 0
+        out.append((cell, number, parts))
+        if parts > 1:
+            number += parts
+        else:
+            used += size
+    return out
+
+
+def along_the_curve(table: DataFrame) -> DataFrame:
+    """A tokenised table in ranges of the curve, each in one partition and sorted."""
+    spark = table.sparkSession
+    cell = F.shiftright("curve", DIMS * BITS - CELLS.bit_length() + 1)
+    sizes = sorted(tuple(r) for r in table.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes")).collect())  # CELLS rows at most
+    most = max(1, min(RANGE_BYTES, -(-sum(s for _, s in sizes) // shuffle_width(spark))))
+    ranges = ranges_of(sizes, most)
+    count = max((first + parts for _, first, parts in ranges), default=1)
+    where = spark.createDataFrame(ranges, "cell long, first long, parts long")
+    placed = table.withColumn("cell", cell).join(F.broadcast(where), "cell")
+    number = F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))
+    return placed.select("doc_id", "curve", "ids", number.cast("int").alias("range")).repartitionById(count, F.col("range")).sortWithinPartitions("curve", "doc_id")
 
 
 def powers_of_two(n: int) -> list[int]:
@@ -94,7 +130,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     A document's ids, its end id included, lie in consecutive pieces, each id in one.  Pieces of a sequence follow one
     another from offset 0.  A sequence has ``length`` ids or a power of two of them.  Null text is empty and packs as
     its end id alone.  A repeated row is packed again.  ``ids`` (the piece's ids as the encoder's little-endian
-    integers) is null with ``with_ids=False``.  An empty table gives an empty result.
+    integers) is null with ``with_ids=False``.  An empty table gives an empty result.  Identifiers are whole numbers, or
+    what a cast to long accepts.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
@@ -142,4 +179,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield batch_of()
 
     table = stage(tokenised(docs, tokenizer_path, id_col, text_col, end_id), "tokenised")
-    return table.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id").select("doc_id", "ids").mapInArrow(work, PIECES)
+    return along_the_curve(table).select("doc_id", "ids").mapInArrow(work, PIECES)
