@@ -55,7 +55,7 @@ def test_any_text_lexes_parses_and_folds(sql):
     assert (tree is None) == bool(error)
 
 
-@given(st.lists(st.sampled_from(["select ", "in (", "'", "''", "'a'", "1", "23", " ", ",", ")", "x", "é", ".", "-", "0x1", "n'", "_u", "b'01'", "@", "1e5", "\n", "values", "insert into t ", "=", "#", '"', "--", "$"]), max_size=25).map("".join))
+@given(st.lists(st.sampled_from(["select ", "in (", "'", "''", "'a'", "1", "23", " ", ",", ")", "x", "é", ".", "-", "0x1", "n'", "_u", "b'01'", "@", "1e5", "\n", "values", "insert into t ", "=", "#", '"', "--", "$", "`", "`a`", "/*", "*/", "/* c */", "-- x\n", '"q"', "\\", "/*!", "1.5", "`a``b`"]), max_size=25).map("".join))
 @settings(max_examples=2500, deadline=None)
 def test_skeleton_keeps_the_fingerprint(sql):
     assert fingerprint(skeleton(sql)) == fingerprint(sql)

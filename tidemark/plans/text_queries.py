@@ -45,7 +45,7 @@ def _order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _order_log(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_folder(spark, "orders")
-    log_text(_order_events(spark, sf_dir)).repartitionByRange(3, "seq").sortWithinPartitions("seq").select("value").write.text(path)
+    log_text(_order_events(spark, sf_dir)).repartitionByRange(8, "seq").sortWithinPartitions("seq").select("value").write.text(path)
     return path
 
 
@@ -55,7 +55,7 @@ def _order_log(spark: SparkSession, sf_dir: str) -> str:
            'select * from orders where o_orderkey = ? and o_orderstatus in(?+)' AS fingerprint
            FROM orders WHERE o_orderkey % 97 <> 5""")
 def log_round_trip(spark, sf_dir):
-    events = with_fingerprints(read_slow_log(spark, _order_log(spark, sf_dir), split_bytes=1 << 18))
+    events = with_fingerprints(read_slow_log(spark, _order_log(spark, sf_dir), split_bytes=1 << 22))
     return events.select("thread_id", "query_time_us", "lock_time_us", "rows_sent", "rows_examined", "bytes_sent", "ts", F.col("user").alias("user_name"), "host", "full_scan", "filesort", "tmp_table", "tmp_disk", "kind", "fingerprint")
 
 

@@ -129,11 +129,26 @@ _WHOLE_NUMBER = re.compile(r"(?<![A-Za-z0-9_$.@\u0080-\U0010ffff])[0-9]+(?![A-Za
 _UNSURE = re.compile(r"[#\"`\\]|--|/\*|@'")
 
 
+#: Quoted texts and names, comments and whole numbers, each read to its end before the next begins.
+_PARTS = re.compile(
+    r"'(?:[^'\\]|''|\\.)*+'|\"(?:[^\"\\]|\"\"|\\.)*+\"|`(?:[^`]|``)*+`|/\*.*?\*/|--(?=[ \t\n\r\f\v]|\Z)[^\n]*|#[^\n]*|" + _WHOLE_NUMBER.pattern, re.S
+)
+_LEFT = re.compile(r"[#\"`'\\]|--|/\*")
+_RISKY = re.compile(r"/\*[!+]|@['\"`]")
+
+
+def _emptied(part: re.Match) -> str:
+    first = part[0][0]
+    return "''" if first == "'" else '""' if first == '"' else part[0] if first == "`" else "0" if first.isdigit() else " "
+
+
 def skeleton(sql: str) -> str:
     """A text with the same fingerprint that statements of one shape share: texts emptied, whole numbers zeroed.
 
-    Where a quote may stand in a comment or in another kind of quotes, the statement itself is returned.
+    Where quotes, escapes or comments do not end, or a comment may be executed, the statement itself is returned.
     """
-    if _UNSURE.search(sql):
+    if not _UNSURE.search(sql):
+        return _WHOLE_NUMBER.sub("0", _QUOTED_TEXT.sub("''", sql))
+    if _RISKY.search(sql) or _LEFT.search(_PARTS.sub("", sql)):
         return sql
-    return _WHOLE_NUMBER.sub("0", _QUOTED_TEXT.sub("''", sql))
+    return _PARTS.sub(_emptied, sql)
