@@ -106,6 +106,49 @@ def test_source_is_split_invariant(spark, tmp_path):
     assert [tuple(r) for r in read_log_text(spark, text).orderBy("seq").collect()] == want.events
 
 
+def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    from tidemark.sources import slowlog
+
+    text = big_log(300)
+    path = tmp_path / "slow.log"
+    path.write_text(text)
+    (tmp_path / "empty.log").write_text("")
+    ranges = -(-len(text.encode()) // 500)
+    frame = slowlog._raw(spark, str(path), 500)
+    assert frame.rdd.getNumPartitions() == 1 and frame.where("kind = 'end'").count() == ranges
+    assert [tuple(r) for r in read_slow_log(spark, str(path), 500).orderBy("seq").collect()] == parse_text(text).events
+    monkeypatch.setattr(slowlog, "TASK_BYTES", 20_000)
+    reader = slowlog._Reader(str(tmp_path), 500, False)
+    empty, *tasks = reader.partitions()
+    assert [len(empty.ranges), sum(len(t.ranges) for t in tasks)] == [1, ranges] and len(tasks) <= len(text.encode()) // 19_500 + 1
+    whole = [r for t in tasks for r in t.ranges]
+    assert whole[0].start == 0 and all(a.end == b.start and a.split < b.split for a, b in zip(whole, whole[1:], strict=False))
+    rows = [r for t in tasks for batch in reader.read(t) for r in batch.to_pylist()]
+    assert [r["seq"] for r in rows if r["kind"] == "event"] == [e[0] for e in parse_text(text).events]
+    assert [r["split"] for r in rows if r["kind"] == "end"] == [r.split for r in whole]
+
+
+def test_a_cut_reads_little():
+    import io
+
+    from tidemark.sources.slowlog import cut_at
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, size=-1):
+            data = super().read(size)
+            self.taken += len(data)
+            return data
+
+    data = (MYSQL + OTHERS).encode() * 1000
+    for least in range(1, len(data), len(data) // 50):
+        stream = Counted(data)
+        cut = cut_at(stream, len(data), least)
+        assert least <= cut <= least + len(MYSQL + OTHERS) and (cut == len(data) or data.startswith((b"# Time:", b"# User@Host:"), cut))
+        assert stream.taken <= 16_384
+
+
 def test_fingerprints_of_the_source_are_those_of_the_column(spark, tmp_path):
     from tidemark.functions.statements import with_fingerprints
     from tidemark.sources.slowlog import resolved_events, scan_slow_log

@@ -1,9 +1,10 @@
 """Slow logs as DataFrames: a splittable Python data source, batch and streaming, and the carried database.
 
-``format("slowlog")`` cuts each file into byte ranges; a task owns the events that start in its range and reads on to
-the end of the last one.  Tasks do not know the database in force at their start, so they leave it null and report
-the last ``use`` they saw; ``read_slow_log`` parses once, into the shared folder, and fills the gaps from those reports,
-one row per range, by a running ``last`` over the ranges in file order.
+``format("slowlog")`` cuts each file into byte ranges; a range owns the events that start in it and is read on to the
+end of the last one.  A range is parsed without knowledge of the database in force at its start: it is left null, and
+the last ``use`` of the range is reported; ``read_slow_log`` parses once, into the shared folder, and fills the gaps from
+those reports, one row per range, by a running ``last`` over the ranges in file order.  A task takes small ranges that
+follow each other together, so that their number does not become one of tasks and files.
 
 A stream ends each batch where the last event of a file is known to be whole, so a half-written event waits for its
 rest.  Its offset holds, for each file, that place, the file's size, a checksum of its first bytes and the database in
@@ -28,6 +29,7 @@ from .scratch import stage
 RAW = f"kind string, split long, {EVENT_COLUMNS}, lines long, events long, skipped long, last_use string"
 CLASSED = ", class_id string, fingerprint string, statement_kind string"  # with the option ``fingerprints``
 SPLIT_BYTES = 64 << 20
+TASK_BYTES = 8 << 20  # a task takes ranges of a file up to so many bytes
 BROADCAST_RANGES = 1 << 16  # one row of a number and a name per range: a few MB
 _BLOCK = 1 << 20
 
@@ -65,11 +67,36 @@ class _Range(InputPartition):
         self.uri, self.path, self.start, self.end, self.split, self.batch, self.use = uri, path, start, end, split, batch, use
 
 
-def _lines_from(stream, at: int):
-    """(line, place) from a place that begins a line; lines keep bytes that are no UTF-8 as surrogates."""
+class _Task(InputPartition):
+    """Ranges of one file that follow each other."""
+
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
+
+
+def _tasks(ranges: list[_Range]) -> list[_Task]:
+    """Ranges in order, as many to a task as ``TASK_BYTES`` hold; a larger range is a task of its own."""
+    out: list[_Task] = []
+    taken = 0
+    for split in ranges:
+        size = split.end - split.start
+        if not out or taken + size > TASK_BYTES or out[-1].ranges[-1].path != split.path:
+            out.append(_Task([]))
+            taken = 0
+        out[-1].ranges.append(split)
+        taken += size
+    return out
+
+
+def _lines_from(stream, at: int, step: int = _BLOCK):
+    """(line, place) from a place that begins a line; lines keep bytes that are no UTF-8 as surrogates.
+
+    ``step`` is the size of the first read; further ones grow.
+    """
     stream.seek(at)
     rest = b""
-    while block := stream.read(_BLOCK):
+    while block := stream.read(step):
+        step = min(2 * step, _BLOCK)
         rest += block
         whole, found, tail = rest.rpartition(b"\n")
         if found:
@@ -100,7 +127,7 @@ def cut_at(stream, size: int, least: int) -> int:
     if least <= 0 or least >= size:
         return max(0, min(least, size))
     finder, timed = Boundaries(least), None
-    for line, at in _lines_from(stream, _line_before(stream, least)):
+    for line, at in _lines_from(stream, _line_before(stream, least), 4096):
         if (cut := finder.next(line, at)) is not None:
             return cut
         if timed is None and at >= least and line.startswith("# Time:"):
@@ -173,7 +200,7 @@ def _clean(text):
     return text if text is None or text.isascii() else text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
-def _batches(split: _Range, classed: bool):
+def _batches(task: _Task, classed: bool):
     import pyarrow as pa
 
     from ..functions.statements import classifier
@@ -185,43 +212,65 @@ def _batches(split: _Range, classed: bool):
     def table(columns):
         return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
-    system, _ = filesystem(split.uri)
-    with system.open_input_file(split.path) as stream:
-        size = stream.size()
-        start, end = (cut_at(stream, size, at) for at in (split.start, split.end))
-        parser = Parser()
-        if split.batch:  # which begins and ends at an event's start
-            low, high = split.batch
-            start, end = (at if at in split.batch else min(high, cut) for at, cut in ((split.start, start), (split.end, end)))
-            parser.database = _use_before(stream, start, low) or split.use
-
-        def events():
-            rows, parser.events = parser.events, []
-            columns = [list(c) for c in zip(*rows, strict=True)]
-            for k in (1, 2, 3, 4):
-                columns[k] = [_clean(x) for x in columns[k]]
-            n = len(rows)
-            classes = [list(c) for c in zip(*map(class_of, columns[1]), strict=True)] if classed else []
-            return table([["event"] * n, [split.split] * n, *columns, *([None] * n for _ in range(4)), *classes])
-
-        stream.seek(start)
-        held, place = b"", start
-        while place < end:
-            block = stream.read(min(_BLOCK, end - place))
-            held, place = held + block, place + len(block)
-            upto = len(held) if place >= end or not block else max(held.rfind(b"\n# Time: "), held.rfind(b"\n# User@Host: ")) + 1
-            if upto or len(held) > 16 * _BLOCK:
-                upto = upto or held.rfind(b"\n") + 1
-                parser.feed_bytes(held, place - len(held), upto)
-                held = held[upto:]
-                if len(parser.events) >= 8192:
-                    yield events()
-            if not block:
-                break
-        parser.finish()
-        if parser.events:
+    splits, rows, ends = [], [], []  # of the ranges so far, not yet given away
+
+    def events():
+        columns = [list(c) for c in zip(*rows, strict=True)]
+        for k in (1, 2, 3, 4):
+            columns[k] = [_clean(x) for x in columns[k]]
+        n = len(rows)
+        classes = [list(c) for c in zip(*map(class_of, columns[1]), strict=True)] if classed else []
+        out = table([["event"] * n, list(splits), *columns, *([None] * n for _ in range(4)), *classes])
+        splits.clear()
+        rows.clear()
+        return out
+
+    def reports():
+        n = len(ends)
+        number, *figures = (list(c) for c in zip(*ends, strict=True))
+        ends.clear()
+        return table([["end"] * n, number, *([None] * n for _ in range(17)), *figures, *([[None] * n] * 3 if classed else [])])
+
+    system, _ = filesystem(task.ranges[0].uri)
+    with system.open_input_file(task.ranges[0].path) as stream:
+        size, cuts = stream.size(), {}
+        for split in task.ranges:
+            cuts = {at: cuts[at] if at in cuts else cut_at(stream, size, at) for at in (split.start, split.end)}  # one range's end is the next one's start
+            start, end = cuts[split.start], cuts[split.end]
+            parser = Parser()
+            if split.batch:  # which begins and ends at an event's start
+                low, high = split.batch
+                start, end = (at if at in split.batch else min(high, cut) for at, cut in ((split.start, start), (split.end, end)))
+                parser.database = _use_before(stream, start, low) or split.use
+            stream.seek(start)
+            held, place = b"", start
+            while place < end:
+                block = stream.read(min(_BLOCK, end - place))
+                held, place = held + block, place + len(block)
+                upto = len(held) if place >= end or not block else max(held.rfind(b"\n# Time: "), held.rfind(b"\n# User@Host: ")) + 1
+                if upto or len(held) > 16 * _BLOCK:
+                    upto = upto or held.rfind(b"\n") + 1
+                    parser.feed_bytes(held, place - len(held), upto)
+                    held = held[upto:]
+                    splits += [split.split] * len(parser.events)
+                    rows += parser.events
+                    parser.events = []
+                    if len(rows) >= 8192:
+                        yield events()
+                if not block:
+                    break
+            parser.finish()
+            splits += [split.split] * len(parser.events)
+            rows += parser.events
+            ends.append((split.split, parser.lines, parser.seen, parser.skipped, _clean(parser.database)))
+            if len(rows) >= 8192:
+                yield events()
+            if len(ends) >= 8192:
+                yield reports()
+        if rows:
             yield events()
-    yield table([["end"], [split.split], *([None] for _ in range(17)), [parser.lines], [parser.seen], [parser.skipped], [_clean(parser.database)], *([[None]] * 3 if classed else [])])
+    if ends:
+        yield reports()
 
 
 class _Reader(DataSourceReader):
@@ -233,7 +282,7 @@ class _Reader(DataSourceReader):
         for number, (path, size) in enumerate(_files(self.uri)):
             count = max(1, -(-size // self.split_bytes))
             out += [_Range(self.uri, path, size * k // count, size * (k + 1) // count, (number << 32) + k) for k in range(count)]
-        return out
+        return _tasks(out)
 
     def read(self, partition):
         return _batches(partition, self.classed)
@@ -282,7 +331,7 @@ class _StreamReader(DataSourceStreamReader):
             count = max(1, -(-(high - low) // self.split_bytes))
             if high > low:
                 out += [_Range(self.uri, path, low + (high - low) * k // count, low + (high - low) * (k + 1) // count, (number << 32) + k, (low, high), use) for k in range(count)]
-        return out
+        return _tasks(out)
 
     def read(self, partition):
         return _batches(partition, self.classed)
