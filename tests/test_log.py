@@ -128,6 +128,18 @@ def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
     assert [r["split"] for r in rows if r["kind"] == "end"] == [r.split for r in whole]
 
 
+def test_the_database_carries_over_ranges_of_a_few_tasks(spark, tmp_path):
+    from tidemark.sources.slowlog import resolved_events, scan_slow_log
+
+    text = "use first;\n" + "".join(OTHERS.replace("use archive;", f"use db{k};" if k % 9 == 0 else "#") for k in range(60))
+    path = tmp_path / "slow.log"
+    path.write_text(text.replace("#\nselect", "# \nselect"))  # a header line without a word
+    raw = scan_slow_log(spark, str(path), 150)
+    assert len(raw.inputFiles()) == 1 and raw.where("kind = 'end'").count() > 100
+    got = [r.database for r in resolved_events(raw, "none").orderBy("seq").collect()]
+    assert got == [x for k in range(60) for x in ("post", f"db{k // 9 * 9}")]
+
+
 def test_a_cut_reads_little():
     import io
 
